@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from verdigris.llm import rank_queries
+from verdigris.llm import rank_queries, split_queries, token_queries
 
-_MODULES = (rank_queries,)
+_MODULES = (rank_queries, split_queries, token_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
