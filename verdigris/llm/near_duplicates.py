@@ -11,6 +11,7 @@ Records with equal shingle sets are one representative throughout.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -18,15 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.llm.batches import whole_groups
 from verdigris.llm.components import components
-from verdigris.runtime import materialise
+from verdigris.runtime import broadcast_if_small, materialise
 
-TREES, DEPTH, MIN_DEPTH = 20, 6, 2
+TREES, DEPTH, MIN_DEPTH = 16, 6, 2
 REGION = 512
-#: Bytes of the sketch, and how far its estimate may lie below the threshold (about four standard deviations).
-SKETCH, MARGIN = 64, 0.25
+#: A sketch keeps two bits of each min-hash in WORDS 64-bit words.
+WORDS = TREES * DEPTH * 2 // 64
+#: How far the estimated similarity of a candidate may lie below the threshold, in standard deviations of the sketch.
+SIGMAS = 4.0
+#: Bytes kept of a shingle's hash: two shingles of a pair of records are mistaken for each other about once in 10^8 pairs.
+HASH_BYTES = 5
 _TOKEN = re.compile(rb"[a-z0-9_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_ODD_BITS = np.uint64(0x5555555555555555)
 
 
 def _hashed(tokens: list[bytes]) -> np.ndarray:
@@ -73,119 +80,154 @@ def min_hashes(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch_of(m: np.ndarray) -> np.ndarray:
+    """Two bits of each min-hash, as WORDS words."""
+    two = (m & 3).astype(np.uint64).reshape(WORDS, 32)
+    return (two << (2 * np.arange(32, dtype=np.uint64))).sum(1, dtype=np.uint64)
+
+
+def least_agreement(threshold: float) -> int:
+    """How many of the two-bit places must agree; unequal min-hashes agree in one of four."""
+    n = WORDS * 32
+    p = threshold + (1 - threshold) / 4
+    return max(0, int(np.floor(n * p - SIGMAS * np.sqrt(n * p * (1 - p)))))
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places the sketches of two lists (rows, WORDS) agree, row by row."""
+    d = x ^ y
+    return WORDS * 32 - np.bitwise_count((d | (d >> np.uint64(1))) & _ODD_BITS).sum(1, dtype=np.int64)
+
+
+def pack_set(h: np.ndarray) -> bytes:
+    """The leading HASH_BYTES bytes of sorted hashes."""
+    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def unpack_set(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+_SET = "rec string, digest binary, shingles binary, sig binary, " + ", ".join(f"s{i} bigint" for i in range(WORDS))
+_WORDS = [f"s{i}" for i in range(WORDS)]
+
+
 def shingle_sets(records: DataFrame, width: int) -> DataFrame:
-    """(rec, digest, shingles) of the records with at least ``width`` tokens; ``digest`` stands for the set."""
-    import hashlib
+    """(rec, digest, shingles, sig, s0...) of the records with at least ``width`` tokens; ``digest`` stands for the set,
+    ``sig`` holds the signatures of all trees, the words are the sketch."""
 
     def run(batches):
         for b in batches:
-            recs, digests, sets = [], [], []
+            recs, digests, sets, sigs, words = [], [], [], [], []
             for rec, text in zip(b["rec"].to_pylist(), b["text"].to_pylist()):
                 h = shingles(text, width)
-                if len(h):
-                    recs.append(rec)
-                    digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                    sets.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(recs, pa.string()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["rec", "digest", "shingles"])
-
-    return records.where("rec IS NOT NULL AND text IS NOT NULL").select("rec", "text").mapInArrow(run, "rec string, digest binary, shingles binary")
-
-
-def _signatures(batches):
-    """One row per record and tree: the tree's signature as bytes in sort order, and the sketch."""
-    for b in batches:
-        vid, tree, sig, sketch = [], [], [], []
-        for v, s in zip(b["vid"].to_pylist(), b["shingles"].to_pylist()):
-            m = min_hashes(np.frombuffer(s, np.uint64))
-            low = (m[:: max(1, len(m) // SKETCH)][:SKETCH] & 0xFF).astype(np.uint8).tobytes()
-            flat = m.astype(">u4").tobytes()
-            for t in range(TREES):
-                vid.append(v)
-                tree.append(t)
-                sig.append(flat[t * DEPTH * 4 : (t + 1) * DEPTH * 4])
-                sketch.append(low)
-        yield pa.RecordBatch.from_arrays([pa.array(vid, pa.int64()), pa.array(tree, pa.int32()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], ["vid", "tree", "sig", "sketch"])
-
-
-def _close(vids: np.ndarray, sketches: np.ndarray, vids2: np.ndarray, sketches2: np.ndarray, least: int, same: bool):
-    """Pairs whose sketches agree in at least ``least`` places; ``same`` when both sides are one list."""
-    for i in range(len(vids) - 1 if same else len(vids)):
-        start = i + 1 if same else 0
-        agree = (sketches2[start:] == sketches[i]).sum(1)
-        for j in np.flatnonzero(agree >= least) + start:
-            a, b = int(vids[i]), int(vids2[j])
-            if a != b:
-                yield (a, b) if a < b else (b, a)
+                if not len(h):
+                    continue
+                m = min_hashes(h)
+                recs.append(rec)
+                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                sets.append(pack_set(h))
+                sigs.append(m.astype(">u4").tobytes())
+                words.append(sketch_of(m).view(np.int64))
+            words = np.array(words, np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(recs, pa.string()), *(pa.array(x, pa.binary()) for x in (digests, sets, sigs)), *(pa.array(words[:, i]) for i in range(WORDS))], ["rec", "digest", "shingles", "sig", *_WORDS])
+
+    return records.where("rec IS NOT NULL AND text IS NOT NULL").select("rec", "text").mapInArrow(run, _SET)
+
+
+def _words(table) -> np.ndarray:
+    return np.stack([table[w].to_numpy().view(np.uint64) for w in _WORDS], axis=1)
+
+
+def _pair_batch(vids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs in order of the two numbers."""
+    pairs = np.unique(np.stack([np.minimum(vids[i], vids[j]), np.maximum(vids[i], vids[j])], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _region_pairs(least: int):
+    """Close pairs of every region; rows come sorted by region, regions are bounded, and many are done at once."""
+
+    def run(batches):
+        for table in whole_groups(batches, ["region"], 32768):
+            region, vids, words = table["region"].to_numpy(), table["vid"].to_numpy(), _words(table)
+            starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+            size = np.diff(np.append(starts, len(region)))
+            left = np.repeat(starts + size, size) - np.arange(len(region)) - 1  # rows of the region after this one
+            at, apart, found = np.flatnonzero(left > 0), 1, []
+            while len(at):
+                close = agreement(words[at], words[at + apart]) >= least
+                found.append(np.stack([at[close], at[close] + apart]))
+                apart += 1
+                at = at[left[at] >= apart]
+            if found:
+                i, j = np.concatenate(found, axis=1)
+                differ = vids[i] != vids[j]
+                yield _pair_batch(vids, i[differ], j[differ])
+
+    return run
+
+
+def _block_pairs(least: int):
+    """Close pairs between the two blocks of each unit (``side`` 0 and 1), for regions alike in a whole signature."""
+
     def run(batches):
-        key, held = None, []
-
-        def flush():
-            if len(held) < 2:
-                return None
-            left = [(v, s) for v, s, side in held if side != 1]
-            right = [(v, s) for v, s, side in held if side != 0]
-            one = held[0][2] == 2
-            arrays = [(np.array([v for v, _ in part], np.int64), np.frombuffer(b"".join(s for _, s in part), np.uint8).reshape(-1, SKETCH)) for part in ((left, left) if one else (left, right))]
-            found = set(_close(*arrays[0], *arrays[1], least, one)) if left and right else None
-            if not found:
-                return None
-            a, b = zip(*found)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for region, v, s, side in zip(batch["region"].to_pylist(), batch["vid"].to_pylist(), batch["sketch"].to_pylist(), batch["side"].to_pylist()):
-                if region != key:
-                    out = flush()
-                    if out:
-                        yield out
-                    key, held = region, []
-                held.append((v, s, side))
-        out = flush()
-        if out:
-            yield out
+        for table in whole_groups(batches, ["region"], 1):
+            region, vids, words, side = table["region"].to_numpy(), table["vid"].to_numpy(), _words(table), table["side"].to_numpy()
+            for r in np.unique(region):
+                left, right = np.flatnonzero((region == r) & (side == 0)), np.flatnonzero((region == r) & (side == 1))
+                for i in left:
+                    j = right[agreement(np.broadcast_to(words[i], (len(right), WORDS)), words[right]) >= least]
+                    j = j[vids[j] != vids[i]]
+                    if len(j):
+                        yield _pair_batch(vids, np.full(len(j), i), j)
 
     return run
 
 
-def forest_candidates(sets: DataFrame, threshold: float, region: int = REGION) -> DataFrame:
-    """(a, b), a < b: pairs of (vid, shingles) rows that share a region of some tree and whose sketches are close."""
-    least = int(np.floor(SKETCH * max(0.0, threshold - MARGIN)))
-    rows = materialise(sets.select("vid", "shingles").mapInArrow(_signatures, "vid bigint, tree int, sig binary, sketch binary"), "forest")
-    prefix = lambda depth: F.xxhash64("tree", F.substring("sig", 1, 4 * depth), F.lit(depth))
-    open_rows, regions = rows, []
+def forest_candidates(reps: DataFrame, threshold: float, region: int = REGION) -> DataFrame:
+    """(a, b), a < b: pairs of (vid, sig, sketch) rows that share a region of some tree and whose sketches are close."""
+    least = least_agreement(threshold)
+    step = 4 * DEPTH
+    trees = F.posexplode(F.array(*[F.substring("sig", 1 + step * t, step) for t in range(TREES)])).alias("tree", "order")
+    open_rows = reps.select("vid", *_WORDS, trees)
+    parts = []
     for depth in range(MIN_DEPTH, DEPTH + 1):
-        keyed = open_rows.withColumn("region", prefix(depth))
-        sizes = keyed.groupBy("region").count()
-        crowded = materialise(sizes.where(F.col("count") > region).select("region", "count"), "crowded")
-        small = crowded.isEmpty()
-        # lone rows need not travel: only regions of two or more rows are gathered, by a semi join on a thin table
-        shared = sizes.where((F.col("count") > 1) & (F.col("count") <= region)).select("region")
-        regions.append(keyed.join(shared, "region", "left_semi").select("region", "vid", "sketch", F.lit(2).alias("side")))
-        if small:
+        keyed = open_rows.withColumn("region", F.xxhash64("tree", F.substring("order", 1, 4 * depth)))
+        crowded = materialise(keyed.groupBy("region").count().where(F.col("count") > region), "crowded")
+        if crowded.isEmpty():
+            parts.append(keyed)
             break
-        open_rows = materialise(keyed.join(crowded, "region").select(*rows.columns), "forest-open")
-        if depth == DEPTH:  # rows alike in a whole signature: all pairs of blocks
-            blocks = keyed.join(crowded, "region").withColumn("n", F.ceil(F.col("count") / (region // 2))).withColumn("mine", F.pmod(F.xxhash64("vid"), "n"))
-            others = blocks.select("region", "vid", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-            regions.append(others.select(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "vid", "sketch", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side")))
+        hot = broadcast_if_small(crowded)
+        parts.append(keyed.join(hot, "region", "left_anti"))
+        open_rows = materialise(keyed.join(hot, "region", "left_semi").drop("region"), "forest-open")
+        if depth == DEPTH:
+            half = region // 2
+            blocks = keyed.join(hot, "region").withColumn("n", F.ceil(F.col("count") / half)).withColumn("mine", F.pmod(F.xxhash64("vid"), "n"))
+            # each block meets itself and every other one
+            met = blocks.select("vid", *_WORDS, "region", "mine", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+            sides = F.when(F.col("mine") == F.col("other"), F.array(F.lit(0), F.lit(1))).when(F.col("mine") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
+            blocks = met.select("vid", *_WORDS, F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), F.explode(sides).alias("side"))
+            parts.append(blocks)
     found = None
-    for part in regions:
-        pairs = part.repartition("region").sortWithinPartitions("region").mapInArrow(_region_pairs(least), "a bigint, b bigint")
+    for part in parts:
+        run = _block_pairs(least) if "side" in part.columns else _region_pairs(least)
+        sent = part.select("region", "vid", *_WORDS, *(["side"] if "side" in part.columns else []))
+        pairs = sent.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a bigint, b bigint")
         found = pairs if found is None else found.unionByName(pairs)
     return found.distinct()
 
 
-def verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def verified(candidates: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the candidates whose exact similarity reaches ``threshold``."""
 
     def check(batches):
         for b in batches:
             keep, value = [], []
             for i, (x, y) in enumerate(zip(b["x"].to_pylist(), b["y"].to_pylist())):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                p, q = unpack_set(x), unpack_set(y)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 total = len(p) + len(q) - both
                 if both >= threshold * total - 1e-9:
@@ -195,8 +237,9 @@ def verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFr
             yield pa.RecordBatch.from_arrays([b["a"].take(at), b["b"].take(at), pa.array(value, pa.float64())], ["a", "b", "jaccard"])
 
     candidates = materialise(candidates, "candidates")
-    named = candidates.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
-    some = sets.select("vid", "shingles").join(named, "vid", "left_semi")
+    named = candidates.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(reps.select("vid", "first"), "vid")
+    # only sets of candidates travel; while the candidates are few the scan itself is filtered by them
+    some = sets.select(F.col("rec").alias("first"), "shingles").join(broadcast_if_small(materialise(named, "named")), "first").select("vid", "shingles")
     pairs = candidates.join(some.select(F.col("vid").alias("a"), F.col("shingles").alias("x")), "a").join(some.select(F.col("vid").alias("b"), F.col("shingles").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint, jaccard double")
 
@@ -209,10 +252,11 @@ def near_duplicates(records: DataFrame, width: int = 5, threshold: float = 0.8,
     """
     full = materialise(shingle_sets(records, width), "shingles")
     # the numbering is made once and written, so every later reader sees the same
-    reps = materialise(full.groupBy("digest").agg(F.min("rec").alias("first")).withColumn("vid", F.monotonically_increasing_id()), "representatives")
+    one = full.groupBy("digest", "sig", *_WORDS).agg(F.min("rec").alias("first"))
+    reps = materialise(one.withColumn("vid", F.monotonically_increasing_id()), "representatives")
     members = full.select("rec", "digest").join(reps.select("digest", "vid"), "digest").select("rec", "vid")
-    sets = materialise(full.select(F.col("rec").alias("first"), "shingles").join(reps.select("first", "vid"), "first").select("vid", "shingles"), "sets")
-    return materialise(verified(forest_candidates(sets, threshold, region), sets, threshold), "near-links"), materialise(members, "near-members")
+    links = verified(forest_candidates(reps, threshold, region), full, reps, threshold)
+    return materialise(links, "near-links"), materialise(members, "near-members")
 
 
 def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
