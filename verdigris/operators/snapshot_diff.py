@@ -56,16 +56,19 @@ def snapshots(manifests: DataFrame, store_versions: DataFrame) -> DataFrame:
     return delivered.join(order, ["store", "version"]).select("store", "version", F.row_number().over(per_store).alias("snap"))
 
 
-def snapshot_rows(manifests: DataFrame, store_versions: DataFrame) -> DataFrame:
+def snapshot_rows(manifests: DataFrame, store_versions: DataFrame, absent: bool = False) -> DataFrame:
     """(store, version, snap, path, sha, h): one row for each path that is present in a snapshot.
 
+    With ``absent`` also the paths that a snapshot says are gone, with a null sha.
+
     Of several rows of one path the one delivered last counts (at equal times the largest sha, a row without sha
     coming first); if that has no sha the path is absent.  Rows without a uid, or whose path is empty, are no path.
     """
     # paths are spelt in few ways: the expensive spelling rules see each distinct row once, before the shuffle
     named = manifests.select("store", "version", canonical_path(F.col("uid")).alias("path"), canonical_hex(F.col("sha")).alias("sha"), "delivered_at").where("path <> ''")
     last = named.groupBy("store", "version", "path").agg(F.max(F.struct("delivered_at", "sha")).alias("last"))
-    kept = last.select("store", "version", "path", F.col("last.sha").alias("sha")).where("sha IS NOT NULL")
+    kept = last.select("store", "version", "path", F.col("last.sha").alias("sha"))
+    kept = kept if absent else kept.where("sha IS NOT NULL")
     return kept.join(snapshots(manifests, store_versions), ["store", "version"]).withColumn("h", F.xxhash64("path"))
 
 
