@@ -32,8 +32,11 @@ HOT_TIMES, HOT_ROUNDS, HOT_SAMPLE = 8, 4, 2_048
 GROUP_ROWS = 8_192
 UNIT_QUERIES = 32_768
 PROBES = 48
-#: Scanned scores this far below the k-th best are still reranked, the best RERANK of them.
-MARGIN, RERANK = 0.1, 128
+#: The error of a scanned score stays within this times the member's residual length, nearly always.  A member is
+#: reranked if it may still reach the k-th best score that is sure.
+MARGIN = 0.06
+#: Queries scanned together.
+QUERY_BLOCK = 512
 
 
 def float_vectors(df: DataFrame, key: str, embedding: str) -> DataFrame:
@@ -218,21 +221,19 @@ def search_block(index, members: dict, q_vid: np.ndarray, q: np.ndarray, probes:
     floor = np.full(len(q), -np.inf, np.float32)
     for leaf, who in opening.items():
         s = approx(leaf, who)
-        floor[who] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - MARGIN
+        low, high = members["places"][leaf]
+        sure = s - MARGIN * members["length"][low:high]
+        floor[who] = np.partition(sure, sure.shape[1] - k, axis=1)[:, sure.shape[1] - k]
     found = []
     for leaf, who in wanted.items():
         s, who = approx(leaf, who), np.asarray(who)
-        a, m = np.nonzero(s >= floor[who][:, None])
-        found.append((who[a], m + members["places"][leaf][0], s[a, m]))
+        low, high = members["places"][leaf]
+        a, m = np.nonzero(s + MARGIN * members["length"][low:high] >= floor[who][:, None])
+        found.append((who[a], m + low))
     if not found:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    qi, mi, s = (np.concatenate(c) for c in zip(*found))
+    qi, mi = (np.concatenate(c) for c in zip(*found))
     keep = q_vid[qi] != members["vid"][mi]
-    qi, mi, s = qi[keep], mi[keep], s[keep]
-    order = np.lexsort((-s, qi))
-    qi, mi = qi[order], mi[order]
-    first = np.searchsorted(qi, np.arange(len(q)))
-    keep = np.arange(len(qi)) - first[qi] < RERANK
     qi, mi = qi[keep], mi[keep]
     cos = np.empty(len(qi))
     for i in range(0, len(qi), 65536):
@@ -308,8 +309,8 @@ def knn(vectors: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
                 if not parts:
                     continue
                 members = members or _members(parts)
-                for i in range(0, piece.num_rows, 1024):
-                    block = piece.slice(i, 1024)
+                for i in range(0, piece.num_rows, QUERY_BLOCK):
+                    block = piece.slice(i, QUERY_BLOCK)
                     q_vid = block["vid"].to_numpy()
                     qi, mi, cos = search_block(index.value, members, q_vid, _matrix(block["direction"]), block["probes"].to_pylist(), k + 1)
                     yield pa.RecordBatch.from_arrays([pa.array(q_vid[qi]), pa.array(members["vid"][mi]), pa.array(np.minimum(cos, 1.0))], ["vid", "nbr", "cosine"])

@@ -129,7 +129,7 @@ def rank_walk(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
     Groups up to ``hot_rows`` rows are walked whole, many at once, in one task; larger ones by :func:`_walk_hot`.
     """
-    narrow = items.where("search_id IS NOT NULL").select("search_id", "hit_id", "id", *[F.col(c).cast("double").alias(c) for c in SCORES])
+    narrow = items.where("search_id IS NOT NULL").select("search_id", "hit_id", "id", *[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in SCORES])
     narrow = materialise(narrow, "walk-items")
     hot = [r[0] for r in narrow.groupBy("search_id").count().where(F.col("count") > hot_rows).select("search_id").collect()]  # at most rows / hot_rows
     cool = narrow.where(~F.col("search_id").isin(hot)) if hot else narrow
