@@ -55,12 +55,12 @@ def lineage(rows: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(store, sha, n, at): where each content occurs, in order of version and uid.
+    """(store, sha, snap, uid, n, first): every place where a content occurs, how many there are, and the first version.
 
-    The list is the feature; contents are spread by sha, and one content's list is as long as it has occurrences.
+    Rows, not lists: a content that half of all paths share stays spread; only its pre-aggregated count is joined.
     """
-    at = F.array_sort(F.collect_list(F.struct("snap", "uid")))
-    return rows.groupBy("store", "sha").agg(F.count("*").alias("n"), at.alias("at"))
+    counts = rows.groupBy("store", "sha").agg(F.count("*").alias("n"), F.min("snap").alias("first"))
+    return rows.select("store", "sha", "snap", "uid").join(counts, ["store", "sha"])
 
 
 def all_versions(rows: DataFrame, versions: DataFrame) -> DataFrame:

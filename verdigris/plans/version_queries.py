@@ -64,8 +64,7 @@ def lineage_texts(spark, sf_dir):
 
 
 def occurrences(spark, sf_dir):
-    found = V.occurrences(_rows(spark, sf_dir))
-    return found.select("store", "sha", "n", F.array_join(F.transform("at", lambda x: F.concat_ws(":", x["snap"], x["uid"])), ",").alias("places"))
+    return V.occurrences(_rows(spark, sf_dir))
 
 
 def all_versions_view(spark, sf_dir):
@@ -104,7 +103,7 @@ SELECT store, path AS uid, snap, sha, changed, CASE WHEN changed AND sha IS NOT
     "lineage_texts": _STATES
     + """, texts AS (SELECT sha1(text) AS sha, max(length(text))::BIGINT AS n_chars FROM corpus WHERE text IS NOT NULL GROUP BY 1)
 SELECT store, snap, count(*) AS n, count(n_chars) AS n_known, sum(n_chars)::BIGINT AS n_chars FROM (SELECT store, snap, lpad(sha, 40, '0') AS sha FROM states) LEFT JOIN texts USING (sha) GROUP BY store, snap""",
-    "occurrences": _STATES + "SELECT store, sha, count(*) AS n, string_agg(snap || ':' || path, ',' ORDER BY snap, path) AS places FROM states GROUP BY store, sha",
+    "occurrences": _STATES + "SELECT store, sha, snap, path AS uid, count(*) OVER (PARTITION BY store, sha) AS n, min(snap) OVER (PARTITION BY store, sha) AS first FROM states",
     "all_versions_view": _STATES
     + """, once AS (SELECT store, sha, snap, min(path) AS uid FROM states GROUP BY ALL), total AS (SELECT store, count(*) AS n_versions FROM snaps GROUP BY store),
   items AS (SELECT o.store, o.sha, arg_min(uid, o.snap) AS uid, string_agg(version, ',' ORDER BY o.snap) AS versions, arg_min(version, o.snap) AS first, arg_max(version, o.snap) AS last, max(o.snap) - 1 AS latest_index
