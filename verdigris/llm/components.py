@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.runtime import materialise
+from verdigris.runtime import materialise, release
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,6 +25,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         new = materialise(small, "links")
         # both are sets: equal sizes and no new link mean that nothing moved
         same = new.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(new, ["u", "v"], "left_anti").isEmpty()
+        release(edges)
         edges = new
         if same:
             break

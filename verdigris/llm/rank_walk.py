@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from verdigris.llm.batches import whole_groups
-from verdigris.runtime import materialise
+from verdigris.runtime import materialise, release
 
 DAMPING = 0.85
 TOLERANCE = 1e-10
@@ -169,6 +169,7 @@ def _walk_hot(items: DataFrame, blocks: int = 1000, tolerance: float = 1e-9, ste
         new = items_long.join(got, at).groupBy("search_id", "hit_id").agg(((1 - DAMPING) / F.first("total") + DAMPING / len(SCORES) * F.sum("got")).alias("p"))
         new = materialise(new, "walk-p")
         moved = new.join(p.withColumnRenamed("p", "old"), ["search_id", "hit_id"]).agg(F.max(F.abs(F.col("p") - F.col("old")))).first()[0]
+        release(p)
         p = new
         if moved < tolerance:
             break
