@@ -36,6 +36,11 @@ COMMON = {
     "zh": "的 是 在 有 和 了 不 个 为 中 请 求 出 多少 如果 每个 从 到 一 两 一个 之间",
 }
 LANGUAGES = tuple(NAMES)
+# Cyrillic in Latin letters, as common romanisations have it, and what differs for Ukrainian.
+LATIN = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e yo zh z i y k l m n o p r s t u f kh ts ch sh shch _ y _ e yu ya".split()))
+LATIN_UK = LATIN | {"г": "h", "ґ": "g", "и": "y", "і": "i", "ї": "yi", "є": "ye"}
+# Letters whose plain spelling is more than the letter without its mark.
+PLAIN = {"de": {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}, "pl": {"ł": "l"}}
 _LABELS = {name: code for code, names in NAMES.items() for name in names.split()}
 LONGEST_GRAM = 5
 #: Sentences with fewer words (or characters of Chinese) are headings or scraps.
@@ -69,6 +74,22 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFC", _INVISIBLE.sub("", text)).lower())
 
 
+def _romanised(word: str, table: dict) -> str:
+    return "".join(table.get(c, c) for c in word).replace("_", "").replace("'", "").replace("’", "")
+
+
+def respelt(words: list[str], code: str) -> list[list[str]]:
+    """The same words as they are spelt without marks or in Latin letters, where that differs."""
+    if code in ("ru", "uk"):
+        return [[_romanised(w, t) for w in words] for t in ((LATIN,) if code == "ru" else (LATIN_UK, LATIN | LATIN_UK | {"г": "g", "и": "i", "ї": "i"}))] if any("а" <= w[0] <= "ї" for w in words) else []
+    table = str.maketrans(PLAIN.get(code, {}))
+    strip = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
+    out = [[strip(w.translate(table)) for w in words]]
+    if code == "de":
+        out.append([strip(w.replace("ß", "ss")) for w in words])
+    return [v for v in out if v != words]
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sentences of prose: no rules, headings, fenced or plain code, sample data."""
     out, at, fenced = [], 0, False
@@ -226,12 +247,15 @@ def train(labelled: list[tuple[str | None, str | None]], rounds: int = 3) -> Mod
         for s, e in sentences(text or ""):
             items.append((words_of(text[s:e]), only))
     # at first a language's common words and its labels vouch for a sentence together
-    model = fit_once([(w, i, 1.0) for w, i in items if i is not None])
+    first = [(w, i, 1.0) for w, i in items if i is not None]
+    model = fit_once(first + [(v, i, 0.5) for w, i, _ in first for v in respelt(w, LANGUAGES[i])])
     for _ in range(rounds):
         sided = []
         for words, i in items:
             code, sure = model.classify(words)
             if code and sure >= 0.5:
-                sided.append((words, LANGUAGES.index(code), 1.0))
+                i = LANGUAGES.index(code)
+                # a sentence vouches for its other spellings too, but less than one that is really spelt so
+                sided += [(words, i, 1.0), *((v, i, 0.5) for v in respelt(words, code))]
         model = fit_once(sided)
     return model
