@@ -16,6 +16,16 @@ NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}")
 RESERVED = ("latest", "HEAD", "all")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def table_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table, or no rows where it does not exist yet."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 @dataclass
 class Store:
     """One named store below ``root``; reading never creates anything.
@@ -30,13 +40,8 @@ class Store:
     def _path(self, what: str) -> str:
         return f"{self.root.rstrip('/')}/{self.name}/{what}"
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
     def _read(self, what: str, schema) -> DataFrame:
-        path = self._path(what)
-        return self.spark.read.schema(schema).parquet(path) if self._exists(path) else self.spark.createDataFrame([], schema)
+        return table_or_empty(self.spark, self._path(what), schema)
 
     # ---- history
     def history(self) -> DataFrame:

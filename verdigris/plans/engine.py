@@ -11,7 +11,7 @@ from verdigris import schemas
 from verdigris.config import Settings
 from verdigris.functions.evidence import recency
 from verdigris.operators.encoding import QUERY_INSTRUCTION, Encoder, HashingEncoder, encode_missing, missing, vector_key
-from verdigris.operators.store import Store, stores
+from verdigris.operators.store import Store, stores, table_or_empty
 from verdigris.plans.search import Result, search
 from verdigris.runtime import materialise
 
@@ -34,7 +34,7 @@ class Engine:
         return stores(self.spark, f"{self.home}/stores")
 
     def _cache(self, what: str, schema) -> DataFrame:
-        return self.store("")._read(f"../{what}", schema)
+        return table_or_empty(self.spark, f"{self.home}/{what}", schema)
 
     def vectors(self) -> DataFrame:
         return self._cache("vectors", schemas.VECTORS)
