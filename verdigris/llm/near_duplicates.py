@@ -24,7 +24,7 @@ from verdigris.llm.components import components
 from verdigris.runtime import broadcast_if_small, materialise
 
 TREES, DEPTH, MIN_DEPTH = 16, 6, 2
-REGION = 512
+REGION = 2048
 #: A sketch keeps two bits of each min-hash in WORDS 64-bit words.
 WORDS = TREES * DEPTH * 2 // 64
 #: How far the estimated similarity of a candidate may lie below the threshold, in standard deviations of the sketch.
