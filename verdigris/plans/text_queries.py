@@ -7,7 +7,7 @@ from verdigris.functions import profile as P
 from verdigris.functions.udfs import extract_samples, mutate, refactor
 from verdigris.operators.encoding import HashingEncoder, vector_key
 from verdigris.plans.search import corpus_view, profiles, search
-from verdigris.runtime import read_table
+from verdigris.runtime import read_table, spread
 from verdigris.sources.benchmark import judged_queries, numeric_suffix, seeded_order
 from verdigris.sources.chunks import chunked
 
@@ -97,16 +97,16 @@ def evolving_queries(spark, sf_dir):
 
 
 def function_chunks(spark, sf_dir):
-    return chunked(_snippets(spark, sf_dir).select(F.concat("id", F.lit(".py")).alias("uid"), "text"), "function")
+    return chunked(spread(_snippets(spark, sf_dir)).select(F.concat("id", F.lit(".py")).alias("uid"), "text"), "function")
 
 
 def refactored(spark, sf_dir):
-    rows = _snippets(spark, sf_dir).where("text IS NOT NULL")
+    rows = spread(_snippets(spark, sf_dir).where("text IS NOT NULL"))
     return rows.select("id", refactor("text", F.lit(1)).alias("code")).where("code IS NOT NULL")
 
 
 def mutants(spark, sf_dir):
-    rows = _snippets(spark, sf_dir).where("text IS NOT NULL")
+    rows = spread(_snippets(spark, sf_dir).where("text IS NOT NULL"))
     return rows.select("id", mutate("text", numeric_suffix(F.col("id"))).alias("m")).where("m.code IS NOT NULL").select("id", "m.code", "m.description")
 
 
