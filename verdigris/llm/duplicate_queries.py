@@ -2,14 +2,14 @@
 
 from verdigris.llm.near_duplicates import all_pairs, classes, near_duplicates
 from verdigris.llm.records import corpus_texts, shown_texts
-from verdigris.runtime import read_table
+from verdigris.runtime import read_table, spread
 
 #: As the statement of the problem has it for these tables.
 WIDTH, THRESHOLD = 3, 0.6
 
 
 def records(spark, sf_dir):
-    return corpus_texts(read_table(spark, sf_dir, "corpus")).unionByName(shown_texts(read_table(spark, sf_dir, "hits")))
+    return corpus_texts(spread(read_table(spark, sf_dir, "corpus"))).unionByName(shown_texts(read_table(spark, sf_dir, "hits")))
 
 
 def p2_found(spark, sf_dir):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.encode import DEFAULT_DIR, encode, round_trip
 from verdigris.llm.mix import entropy_shares, mix, normalised, sized
-from verdigris.runtime import materialise, read_table
+from verdigris.runtime import materialise, read_table, spread
 
 
 def _folder(spark):
@@ -13,15 +13,15 @@ def _folder(spark):
 
 
 def p7_ids(spark, sf_dir):
-    return encode(read_table(spark, sf_dir, "documents"), folder=_folder(spark))
+    return encode(spread(read_table(spark, sf_dir, "documents")), folder=_folder(spark))
 
 
 def p7_round_trip(spark, sf_dir):
-    return round_trip(read_table(spark, sf_dir, "documents"), folder=_folder(spark))
+    return round_trip(spread(read_table(spark, sf_dir, "documents")), folder=_folder(spark))
 
 
 def _mixed(spark, sf_dir):
-    sizes = materialise(sized(read_table(spark, sf_dir, "documents"), folder=_folder(spark)), "mix-sizes")
+    sizes = materialise(sized(spread(read_table(spark, sf_dir, "documents")), folder=_folder(spark)), "mix-sizes")
     return mix(sizes, read_table(spark, sf_dir, "mix_targets"))
 
 
@@ -35,7 +35,7 @@ def p8_shares(spark, sf_dir):
 
 def p8_entropy(spark, sf_dir):
     """Natural shares tempered to the entropy of the target shares."""
-    sizes = sized(read_table(spark, sf_dir, "documents"), folder=_folder(spark)).groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    sizes = sized(spread(read_table(spark, sf_dir, "documents")), folder=_folder(spark)).groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     rows = read_table(spark, sf_dir, "mix_targets").join(sizes, "source").where("tokens > 0 AND target_share > 0").limit(1000).collect()
     if not rows:
         return spark.createDataFrame([], "source string, tokens bigint, power double, share double")
