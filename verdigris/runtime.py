@@ -6,8 +6,11 @@ Nothing in here is specific to an operator.  Every operator that needs to cut it
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,18 @@ def build_session(app: str = "verdigris", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable for the Python workers where their path does not reach it; once per application."""
+    root = Path(__file__).resolve().parents[1]
+    reached = {Path(p or ".").resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep))}
+    context = spark.sparkContext
+    if root in reached or getattr(context, "_verdigris_shipped", False):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='verdigris-')}/package", "zip", root, "verdigris")
+    context.addPyFile(archive)
+    context._verdigris_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
