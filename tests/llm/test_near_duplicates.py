@@ -51,6 +51,18 @@ def test_all_pairs_against_brute_force(spark, region):
         assert near <= set(rows)
 
 
+@pytest.mark.parametrize("block", [N.BLOCK, 30])
+def test_crowded_group_against_brute_force(spark, block):
+    """Rewrites of one text crowd every tree; no pair may be lost for it, however far apart."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = {f"r{k:03}": " ".join(w if rng.random() > 0.05 else f"v{rng.randint(0, 9999)}" for w in base) for k in range(250)}
+    links, members = found(spark, texts, 3, 0.6, region=20, block=block)
+    rows = {(r.rec_a, r.rec_b) for r in N.all_pairs(links, members).collect()}
+    want = brute(texts, 3, 0.6)
+    assert len(want) > 5000 and rows <= want and len(rows) >= 0.998 * len(want)
+
+
 def test_classes(spark):
     texts = texts_with_copies(4, 15)
     links, members = found(spark, texts, 3, 0.6)

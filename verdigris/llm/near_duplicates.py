@@ -1,8 +1,7 @@
 """Records that share most of their content, across collections too large for pairwise comparison.
 
-Method: an LSH forest.  Each record has TREES signatures of DEPTH min-hashes over its word shingles.  In each sorted
-signature order (a tree), records with a common prefix are candidates; the prefix that counts is MIN_DEPTH long, and
-longer in regions of the order that hold more than REGION rows.  A region that is still larger at full depth is cut
+Method: TREES orders of records by DEPTH min-hashes over their word shingles.  Records that agree in the first
+MIN_DEPTH min-hashes of some tree share a region of it and are candidates.  A region of more than REGION rows is cut
 into blocks, and all pairs of blocks are visited, so that no size loses a pair.  Candidates pass a sketch estimate
 well below the threshold and are then held against the exact shingle sets.
 
@@ -25,6 +24,8 @@ from verdigris.runtime import broadcast_if_small, materialise
 
 TREES, DEPTH, MIN_DEPTH = 16, 6, 2
 REGION = 2048
+#: Rows of a block in a crowded region; larger blocks send each row less often, smaller ones spread the work.
+BLOCK = 16_384
 #: A sketch keeps two bits of each min-hash in WORDS 64-bit words.
 WORDS = TREES * DEPTH * 2 // 64
 #: How far the estimated similarity of a candidate may lie below the threshold, in standard deviations of the sketch.
@@ -99,6 +100,17 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return WORDS * 32 - np.bitwise_count((d | (d >> np.uint64(1))) & _ODD_BITS).sum(1, dtype=np.int64)
 
 
+def _agreement_with(x: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """In how many places one sketch agrees with each of many, given as (WORDS, rows)."""
+    apart = np.zeros(columns.shape[1], np.uint8)
+    for w in range(WORDS):
+        d = columns[w] ^ x[w]
+        d |= d >> np.uint64(1)
+        d &= _ODD_BITS
+        apart += np.bitwise_count(d)
+    return WORDS * 32 - apart.astype(np.int64)
+
+
 def pack_set(h: np.ndarray) -> bytes:
     """The leading HASH_BYTES bytes of sorted hashes."""
     return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
@@ -116,7 +128,7 @@ _WORDS = [f"s{i}" for i in range(WORDS)]
 
 def shingle_sets(records: DataFrame, width: int) -> DataFrame:
     """(rec, digest, shingles, sig, s0...) of the records with at least ``width`` tokens; ``digest`` stands for the set,
-    ``sig`` holds the signatures of all trees, the words are the sketch."""
+    ``sig`` holds the first MIN_DEPTH min-hashes of each tree, the words are the sketch of all."""
 
     def run(batches):
         for b in batches:
@@ -129,7 +141,7 @@ def shingle_sets(records: DataFrame, width: int) -> DataFrame:
                 recs.append(rec)
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 sets.append(pack_set(h))
-                sigs.append(m.astype(">u4").tobytes())
+                sigs.append(m.reshape(TREES, DEPTH)[:, :MIN_DEPTH].astype(">u4").tobytes())
                 words.append(sketch_of(m).view(np.int64))
             words = np.array(words, np.int64).reshape(-1, WORDS)
             yield pa.RecordBatch.from_arrays([pa.array(recs, pa.string()), *(pa.array(x, pa.binary()) for x in (digests, sets, sigs)), *(pa.array(words[:, i]) for i in range(WORDS))], ["rec", "digest", "shingles", "sig", *_WORDS])
@@ -171,53 +183,54 @@ def _region_pairs(least: int):
 
 
 def _block_pairs(least: int):
-    """Close pairs between the two blocks of each unit (``side`` 0 and 1), for regions alike in a whole signature."""
+    """Close pairs between the two blocks of each unit (``side`` 0 and 1), or inside a block that is alone in its unit."""
 
     def run(batches):
         for table in whole_groups(batches, ["region"], 1):
             region, vids, words, side = table["region"].to_numpy(), table["vid"].to_numpy(), _words(table), table["side"].to_numpy()
-            for r in np.unique(region):
-                left, right = np.flatnonzero((region == r) & (side == 0)), np.flatnonzero((region == r) & (side == 1))
-                for i in left:
-                    j = right[agreement(np.broadcast_to(words[i], (len(right), WORDS)), words[right]) >= least]
-                    j = j[vids[j] != vids[i]]
+            starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+            for start, end in zip(starts, np.append(starts[1:], len(region))):
+                left, right = start + np.flatnonzero(side[start:end] == 0), start + np.flatnonzero(side[start:end] == 1)
+                alone = not len(right)
+                facing = np.ascontiguousarray(words[left if alone else right].T)
+                found, n = [], 0
+                for k, i in enumerate(left):
+                    after = k + 1 if alone else 0
+                    j = after + np.flatnonzero(_agreement_with(words[i], facing[:, after:]) >= least)
                     if len(j):
-                        yield _pair_batch(vids, np.full(len(j), i), j)
+                        j = (left if alone else right)[j]
+                        found.append(np.stack([np.full(len(j), i), j]))
+                        n += len(j)
+                    if n >= 1 << 18:
+                        yield _pair_batch(vids, *np.concatenate(found, axis=1))
+                        found, n = [], 0
+                if n:
+                    yield _pair_batch(vids, *np.concatenate(found, axis=1))
 
     return run
 
 
-def forest_candidates(reps: DataFrame, threshold: float, region: int = REGION) -> DataFrame:
+def forest_candidates(reps: DataFrame, threshold: float, region: int = REGION, block: int = BLOCK) -> DataFrame:
     """(a, b), a < b: pairs of (vid, sig, sketch) rows that share a region of some tree and whose sketches are close."""
     least = least_agreement(threshold)
-    step = 4 * DEPTH
-    trees = F.posexplode(F.array(*[F.substring("sig", 1 + step * t, step) for t in range(TREES)])).alias("tree", "order")
-    open_rows = reps.select("vid", *_WORDS, trees)
-    parts = []
-    for depth in range(MIN_DEPTH, DEPTH + 1):
-        keyed = open_rows.withColumn("region", F.xxhash64("tree", F.substring("order", 1, 4 * depth)))
-        crowded = materialise(keyed.groupBy("region").count().where(F.col("count") > region), "crowded")
-        if crowded.isEmpty():
-            parts.append(keyed)
-            break
-        hot = broadcast_if_small(crowded)
-        parts.append(keyed.join(hot, "region", "left_anti"))
-        open_rows = materialise(keyed.join(hot, "region", "left_semi").drop("region"), "forest-open")
-        if depth == DEPTH:
-            half = region // 2
-            blocks = keyed.join(hot, "region").withColumn("n", F.ceil(F.col("count") / half)).withColumn("mine", F.pmod(F.xxhash64("vid"), "n"))
-            # each block meets itself and every other one
-            met = blocks.select("vid", *_WORDS, "region", "mine", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-            sides = F.when(F.col("mine") == F.col("other"), F.array(F.lit(0), F.lit(1))).when(F.col("mine") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
-            blocks = met.select("vid", *_WORDS, F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), F.explode(sides).alias("side"))
-            parts.append(blocks)
-    found = None
-    for part in parts:
-        run = _block_pairs(least) if "side" in part.columns else _region_pairs(least)
-        sent = part.select("region", "vid", *_WORDS, *(["side"] if "side" in part.columns else []))
-        pairs = sent.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a bigint, b bigint")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
+    step = 4 * MIN_DEPTH
+    trees = F.posexplode(F.array(*[F.substring("sig", 1 + step * t, step) for t in range(TREES)])).alias("tree", "start")
+    keyed = reps.select("vid", *_WORDS, trees).select("vid", *_WORDS, F.xxhash64("tree", "start").alias("region"))
+    crowded = materialise(keyed.groupBy("region").count().where(F.col("count") > region), "crowded")
+    if crowded.isEmpty():
+        return _pairs_by_region(keyed, _region_pairs(least)).distinct()
+    hot = broadcast_if_small(crowded)
+    blocks = keyed.join(hot, "region").withColumn("n", F.ceil(F.col("count") / block)).withColumn("mine", F.pmod(F.xxhash64("vid"), "n"))
+    # each block meets itself and every other one
+    met = blocks.select("vid", *_WORDS, "region", "mine", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    unit = F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region")
+    units = met.select("vid", *_WORDS, unit, (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    open_pairs = _pairs_by_region(keyed.join(hot, "region", "left_anti"), _region_pairs(least))
+    return open_pairs.unionByName(_pairs_by_region(units, _block_pairs(least))).distinct()
+
+
+def _pairs_by_region(rows: DataFrame, run) -> DataFrame:
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(candidates: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -244,7 +257,7 @@ def verified(candidates: DataFrame, sets: DataFrame, reps: DataFrame, threshold:
     return pairs.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint, jaccard double")
 
 
-def near_duplicates(records: DataFrame, width: int = 5, threshold: float = 0.8, region: int = REGION) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, width: int = 5, threshold: float = 0.8, region: int = REGION, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Links between representatives, and which representative stands for each record.
 
     ``records`` is (rec, text) with distinct recs.  Returns (a, b, jaccard), a < b, and (rec, vid).  Records without
@@ -255,7 +268,7 @@ def near_duplicates(records: DataFrame, width: int = 5, threshold: float = 0.8,
     one = full.groupBy("digest", "sig", *_WORDS).agg(F.min("rec").alias("first"))
     reps = materialise(one.withColumn("vid", F.monotonically_increasing_id()), "representatives")
     members = full.select("rec", "digest").join(reps.select("digest", "vid"), "digest").select("rec", "vid")
-    links = verified(forest_candidates(reps, threshold, region), full, reps, threshold)
+    links = verified(forest_candidates(reps, threshold, region, block), full, reps, threshold)
     return materialise(links, "near-links"), materialise(members, "near-members")
 
 
