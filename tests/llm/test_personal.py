@@ -78,3 +78,14 @@ def test_fitting_on_tables(spark):
     parts = spark.createDataFrame([("Ada", "given"), ("Kowalle", "family"), (None, "given")], "part_name string, kind string")
     assert found(S.fit_model(docs, parts), "Thanks to Ada Kowalle for the proof.") == {("name", "Ada Kowalle")}
     assert S.fit_model(docs.where("false"), parts.where("false")).find("nothing") == []
+
+
+def test_lexicon_counts_every_document(spark):
+    """Names with just two partners among many documents are learned, as by one pass over all texts."""
+    rare = [f"{a}{b}" for a in ("Quil", "Wex", "Zan", "Tor") for b in ("marsh", "dorp", "lund", "vik", "ton")]
+    texts = [f"Thanks to {g} {f} for the proof." for f in rare for g in GIVEN[:2]] + [f"the kettle {i} stood by the mill" for i in range(30_000)] + ["Kettle, Ada", "Stonefield, Ada", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    parts = spark.createDataFrame([(g, "given") for g in GIVEN] + [(f, "family") for f in FAMILY], "part_name string, kind string")
+    lexicon = S.fit_model(docs, parts).lexicon
+    assert all(lexicon.mark(f) == "f" for f in rare) and lexicon.mark("kettle") == "c"
+    assert lexicon.of == P.learn_lexicon([t for t in texts if t], GIVEN, FAMILY).of

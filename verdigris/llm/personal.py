@@ -4,7 +4,7 @@ Method: a semi-Markov conditional model.  Candidate segments of bounded length a
 scored as a whole (its shape, its words, its surroundings), and dynamic programming over segments ending at each
 place of the text picks the best set that does not overlap, so boundaries and kinds are decided together.  Text
 outside segments scores nothing.  The weights are fitted by an averaged structured perceptron on labelled texts
-made by :func:`training_texts`; names also use a lexicon drawn from a bounded sample of the documents.
+made by :func:`training_texts`; names also use a lexicon drawn from all documents.
 
 Everything here is plain Python on one text; :mod:`verdigris.llm.personal_spark` applies it to tables.
 """
@@ -70,14 +70,10 @@ class Lexicon:
         return self.of.get(word.lower(), "u")
 
 
-def learn_lexicon(texts, given, family, least: int = 2, rounds: int = 2) -> Lexicon:
-    """The listed names and those that stand beside them, at least ``least`` times beside different partners.
-
-    Words that are written small in a fifth of their uses or more are common words, not names.
-    """
+def company(texts, listed) -> tuple[Counter, Counter, Counter]:
+    """Pairs of capitalised words that stand together as given and family name, and how often each word is written
+    with a capital and small."""
     pairs, large, small = Counter(), Counter(), Counter()
-    g, f = {w.lower() for w in given}, {w.lower() for w in family}
-    listed = g | f
     for text in texts:
         for m in _FREE_WORD.finditer(text):
             w = m.group(0)
@@ -89,6 +85,17 @@ def learn_lexicon(texts, given, family, least: int = 2, rounds: int = 2) -> Lexi
                     pairs[a.lower(), b.lower()] += 1
                 elif a.lower() in listed:  # a salutation and a given name are no family name and given name
                     pairs[b.lower(), a.lower()] += 1
+    return pairs, large, small
+
+
+def learn_lexicon(texts, given, family, least: int = 2, rounds: int = 2) -> Lexicon:
+    """The listed names and those that stand beside them, at least ``least`` times beside different partners.
+
+    Words that are written small in a fifth of their uses or more are common words, not names.
+    """
+    g, f = {w.lower() for w in given}, {w.lower() for w in family}
+    listed = g | f
+    pairs, large, small = company(texts, listed)
     common = {w for w, n in small.items() if n >= 0.2 * (n + large[w])}
     for _ in range(rounds):
         firsts, lasts = defaultdict(set), defaultdict(set)
@@ -325,8 +332,11 @@ class Model:
 
 
 def train(texts, given, family) -> Model:
-    """A model from the listed names and a bounded sample of texts (for the lexicon only)."""
-    lexicon = learn_lexicon(texts, given, family)
+    """A model from the listed names and texts (for the lexicon only)."""
+    return train_with(learn_lexicon(texts, given, family))
+
+
+def train_with(lexicon: Lexicon) -> Model:
     return Model(*fit(training_texts(lexicon), lexicon), lexicon)
 
 
