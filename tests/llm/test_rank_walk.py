@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from verdigris.llm import rank_walk as R
@@ -78,3 +79,26 @@ def test_latest_hits(spark):
     rows = [("a", t, 1, "x", 1.0, 2.0, ("t", 1, 2)), ("a", t + dt.timedelta(1), 1, "x", 3.0, None, ("t", 1, 0)), ("b", None, 1, "y", float("nan"), 1.0, None), (None, t, 1, "z", 1.0, 1.0, None)]
     got = {r.hit_id: (r.dense, r.score, r.share) for r in R.latest_hits(spark.createDataFrame(rows, f"hit_id string, logged_at timestamp_ntz, search_id bigint, id string, dense double, score double, verification {v}")).collect()}
     assert got == {"a": (3.0, None, None), "b": (None, 1.0, None)}
+
+
+def test_large_groups_are_not_ranked_by_id():
+    """The probabilities of a large group are small, but no ties; small groups beside it change nothing."""
+    n, more = 30_000, 10_000
+    rng = np.random.default_rng(5)
+    search = np.concatenate([np.repeat(np.arange(more // 20), 20), np.full(n, more)])
+    ids = [f"d{i:05}" for i in range(n + more)]
+    scores = [rng.random(n + more) for _ in R.SCORES]
+    batch = pa.RecordBatch.from_arrays([pa.array(search), pa.array(ids), pa.array(ids), *map(pa.array, scores)], ["search_id", "hit_id", "id", *R.SCORES])
+    out = pa.Table.from_batches(R._walk_batches([batch]))
+    mine = out.slice(more)
+    p, _ = R.walk(np.zeros(n, np.int64), [s[more:] for s in scores], tolerance=1e-14)
+    got, rank = mine["stationary"].to_numpy(), mine["walk_rank"].to_numpy()
+    assert len(np.unique(got)) > 0.999 * n and np.allclose(got, p, rtol=3e-9, atol=0)
+    assert (np.diff(p[np.argsort(rank)]) < 3e-9 * p.max()).all() and (np.argsort(rank) == np.argsort(-p, kind="stable")).mean() > 0.999
+
+
+def test_both_walks_rank_alike(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame(rows_of({0: [(rng.random(), rng.random(), rng.random()) for _ in range(3000)]}), ITEMS)
+    cool, hot = ({r.hit_id: r.walk_rank for r in R.rank_walk(df, h).collect()} for h in (R.HOT_ROWS, 10))
+    assert sum(cool[h] == hot[h] for h in cool) >= 2990

@@ -5,6 +5,7 @@ least as good in it (itself included).  Only orders matter, so no scale can drow
 probabilities come from power iteration with damping; a step over one score is a prefix sum over its sorted order.
 
 Missing scores (null or not a number) rank below every present one and tie with each other; equal scores tie.
+Stationary probabilities shrink with the size of a group, so they are compared and rounded relative to themselves.
 Items with equal stationary probability are ordered by id and hit_id.  Rows without a group key are in no group.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -20,6 +21,7 @@ from verdigris.llm.batches import whole_groups
 from verdigris.runtime import materialise, release
 
 DAMPING = 0.85
+#: The walk stops when no probability changes by more than this part of itself.
 TOLERANCE = 1e-10
 MAX_STEPS = 200
 #: Groups of more rows than this are ranked by the distributed walk.
@@ -69,20 +71,32 @@ def walk(group: np.ndarray, scores: list[np.ndarray], damping=DAMPING, tolerance
         levels.append(first[inverse])
     p = 1.0 / size[group]
     rest = (1 - damping) / size[group]
-    cum = np.zeros(n + 1)
+    cum = np.zeros(n + 1, np.longdouble)  # it runs over all groups, whose probabilities may be far smaller
     for _ in range(steps):
         q = np.zeros(n)
         for order, share, until in prepared:
-            np.cumsum(p[order] * share, out=cum[1:])
-            q += cum[until] - cum[base]
+            np.cumsum(p[order] * share, dtype=np.longdouble, out=cum[1:])
+            q += (cum[until] - cum[base]).astype(float)
         q = rest + damping / len(scores) * q
-        moved = np.abs(q - p).max(initial=0.0)
+        moved = (np.abs(q - p) / q).max(initial=0.0)
         p = q
         if moved < tolerance:
             break
     return p, levels
 
 
+def rounded(p: np.ndarray) -> np.ndarray:
+    """Nine digits after the point of a binary mantissa in [1, 2), so that no size of group makes ties."""
+    mantissa, exponent = np.frexp(p)
+    return np.ldexp(np.round(2 * mantissa, 9), exponent - 1)
+
+
+def _rounded(p: Column) -> Column:
+    """:func:`rounded` in SQL."""
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(p)))
+    return F.round(p / unit, 9) * unit
+
+
 def _pair_winner(order: np.ndarray, ends: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     """True for an item that is better than each other of its group in most scores.
 
@@ -113,12 +127,13 @@ def _walk_batches(batches):
         group = np.cumsum(np.concatenate([[False], search[1:] != search[:-1]])).astype(np.int64)
         p, levels = walk(group, [table[c].to_numpy(zero_copy_only=False).astype(float) for c in SCORES])
         # rows arrive by id and hit_id, so a stable sort breaks ties by them
-        order = np.lexsort((np.arange(len(p)), -np.round(p, 9), group))
+        p = rounded(p)
+        order = np.lexsort((np.arange(len(p)), -p, group))
         size = np.bincount(group)
         end = np.cumsum(size)
         rank = np.empty(len(p), np.int32)
         rank[order] = np.arange(len(p)) - (end - size)[group[order]] + 1
-        yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("search_id", "hit_id", "id")), pa.array(np.round(p, 9)), pa.array(rank), pa.array(_pair_winner(order, end, levels))], ["search_id", "hit_id", "id", "stationary", "walk_rank", "pair_winner"])
+        yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("search_id", "hit_id", "id")), pa.array(p), pa.array(rank), pa.array(_pair_winner(order, end, levels))], ["search_id", "hit_id", "id", "stationary", "walk_rank", "pair_winner"])
 
 
 _OUT = "search_id bigint, hit_id string, id string, stationary double, walk_rank int, pair_winner boolean"
@@ -145,7 +160,7 @@ def _cumulated(levels: DataFrame, amount: str) -> DataFrame:
     return levels.withColumn("inside", inside).join(F.broadcast(blocks.drop("whole")), [*at, "block"]).withColumn("cum", F.col("before") + F.col("inside")).drop("inside", "before")
 
 
-def _walk_hot(items: DataFrame, blocks: int = 1000, tolerance: float = 1e-9, steps: int = MAX_STEPS) -> DataFrame:
+def _walk_hot(items: DataFrame, blocks: int = 1000, tolerance: float = TOLERANCE, steps: int = MAX_STEPS) -> DataFrame:
     """The same walk for groups too large for a task.
 
     Items of equal value share a level, so a tie of any size is one pre-aggregated row.  Levels fall into about
@@ -168,13 +183,13 @@ def _walk_hot(items: DataFrame, blocks: int = 1000, tolerance: float = 1e-9, ste
         got = _cumulated(given, "w").select(*at, F.col("cum").alias("got"))
         new = items_long.join(got, at).groupBy("search_id", "hit_id").agg(((1 - DAMPING) / F.first("total") + DAMPING / len(SCORES) * F.sum("got")).alias("p"))
         new = materialise(new, "walk-p")
-        moved = new.join(p.withColumnRenamed("p", "old"), ["search_id", "hit_id"]).agg(F.max(F.abs(F.col("p") - F.col("old")))).first()[0]
+        moved = new.join(p.withColumnRenamed("p", "old"), ["search_id", "hit_id"]).agg(F.max(F.abs(F.col("p") - F.col("old")) / F.col("p"))).first()[0]
         release(p)
         p = new
         if moved < tolerance:
             break
     wide = items_long.groupBy("search_id", "hit_id").pivot("s", list(range(len(SCORES)))).agg(F.first("cum"))
-    wide = materialise(wide.join(p, ["search_id", "hit_id"]).withColumn("p", F.round("p", 9)), "walk-wide")
+    wide = materialise(wide.join(p, ["search_id", "hit_id"]).withColumn("p", _rounded(F.col("p"))), "walk-wide")
     need = len(SCORES) // 2 + 1
     better = lambda a, b: sum((F.col(f"{a}.{i}") > F.col(f"{b}.{i}")).cast("int") for i in range(len(SCORES))) >= need
     names = [str(i) for i in range(len(SCORES))]
