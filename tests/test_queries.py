@@ -29,3 +29,19 @@ def test_every_query_with_sql_is_registered():
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql()) - {"verified_search"}))
 def test_others_run(spark, name):
     assert catalogue.queries()[name](spark, str(TABLES)).count() > 0
+
+
+def test_whole_search_runs_with_the_defaults(spark, monkeypatch):
+    from verdigris.config import Settings
+    from verdigris.plans import text_queries
+
+    class Asked(Exception):
+        pass
+
+    def seen(queries, view, encoder, settings, **more):
+        raise Asked(settings)
+
+    monkeypatch.setattr(text_queries, "search", seen)
+    with pytest.raises(Asked) as asked:
+        text_queries.verified_search(spark, str(TABLES))
+    assert asked.value.args[0] == Settings()

@@ -112,7 +112,7 @@ def mutants(spark, sf_dir):
 
 def verified_search(spark, sf_dir):
     """Every query against every snippet: profile, encode, best by similarity, run on the samples, fuse, rank."""
-    found = search(_queries(spark, sf_dir), corpus_view(_snippets(spark, sf_dir)), ENCODER, Settings(top_verify=5, expand=5, case_timeout=0.5), k=10)
+    found = search(_queries(spark, sf_dir), corpus_view(_snippets(spark, sf_dir)), ENCODER, Settings(), k=10)
     return found.hits.select("qid", "id", "rank", "dense_rank", F.round("dense", 5).alias("dense"), F.round("score", 4).alias("score"), "tier", "passed", "total", "variant")
 
 
