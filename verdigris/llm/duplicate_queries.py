@@ -21,4 +21,13 @@ def p2_classes(spark, sf_dir):
 
 
 QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes}
-SQL = {}
+SQL = {
+    "p2_found": """
+WITH shown AS (SELECT hit_id, text, row_number() OVER (PARTITION BY hit_id ORDER BY logged_at DESC NULLS LAST, text DESC) AS rn FROM hits WHERE hit_id IS NOT NULL AND text IS NOT NULL),
+records AS (SELECT doc_id AS rec, text FROM corpus WHERE doc_id IS NOT NULL AND text IS NOT NULL UNION ALL SELECT hit_id, text FROM shown WHERE rn = 1),
+tokens AS (SELECT rec, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM records),
+sets AS (SELECT rec, list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS s FROM tokens WHERE len(t) >= 3),
+runs AS (SELECT rec, len(s) AS n, unnest(s) AS run FROM sets),
+pairs AS (SELECT a.rec AS rec_a, b.rec AS rec_b, a.n AS n, b.n AS m, count(*) AS shared FROM runs a JOIN runs b ON a.run = b.run AND a.rec < b.rec GROUP BY ALL)
+SELECT rec_a, rec_b FROM pairs WHERE 10 * shared >= 6 * (n + m - shared)"""
+}

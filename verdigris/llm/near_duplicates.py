@@ -1,15 +1,19 @@
 """Records that share most of their content, across collections too large for pairwise comparison.
 
-Method: TREES orders of records by DEPTH min-hashes over their word shingles.  Records that agree in the first
-MIN_DEPTH min-hashes of some tree share a region of it and are candidates.  A region of more than REGION rows is cut
-into blocks, and all pairs of blocks are visited, so that no size loses a pair.  Candidates pass a sketch estimate
-well below the threshold and are then held against the exact shingle sets.
+Method: an LSH forest.  Each of several orders sorts the records by a signature of min-hashes of their word shingles;
+records whose common prefix reaches the depth of their region are neighbours there and candidates.  The depth adapts
+to the region: it starts at two min-hashes, and the records of a region that more than REGION of them share are sorted
+anew by four, then by six min-hashes.  Deeper orders are less likely to bring a pair together, so there are as many
+more of them as keep its chance (:func:`orders_needed`).  What is still crowded at the last depth is nearly alike and
+is scanned in whole, block against block, so no size loses a pair.  Candidates pass a sketch estimate well below the
+threshold and are then held against the exact shingle sets.
 
 Records with equal shingle sets are one representative throughout.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -22,12 +26,16 @@ from verdigris.llm.batches import whole_groups
 from verdigris.llm.components import components
 from verdigris.runtime import broadcast_if_small, materialise
 
-TREES, DEPTH, MIN_DEPTH = 16, 6, 2
+#: Min-hashes of a common prefix that makes neighbours, at first and in regions that are crowded.
+DEPTHS = (2, 4, 6)
+#: The chance to miss a pair right at the threshold in all orders of one depth.
+MISS = 0.0008
 REGION = 2048
-#: Rows of a block in a crowded region; larger blocks send each row less often, smaller ones spread the work.
+#: Rows of a block in a region crowded at the last depth; larger blocks send each row less often, smaller ones spread the work.
 BLOCK = 16_384
-#: A sketch keeps two bits of each min-hash in WORDS 64-bit words.
-WORDS = TREES * DEPTH * 2 // 64
+#: A sketch keeps two bits of each of so many min-hashes, in WORDS 64-bit words.
+SKETCH = 96
+WORDS = SKETCH * 2 // 64
 #: How far the estimated similarity of a candidate may lie below the threshold, in standard deviations of the sketch.
 SIGMAS = 4.0
 #: Bytes kept of a shingle's hash: two shingles of a pair of records are mistaken for each other about once in 10^8 pairs.
@@ -67,16 +75,25 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(h)
 
 
-_A = np.random.default_rng(11).integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
-_B = np.random.default_rng(12).integers(0, 1 << 62, TREES * DEPTH, dtype=np.uint64)
+def orders_needed(threshold: float, depth: int) -> int:
+    """How many orders of ``depth`` min-hashes bring a pair of that similarity together in one, but for MISS."""
+    return max(1, int(np.ceil(np.log(MISS) / np.log1p(-min(threshold, 0.999999) ** depth))))
 
 
-def min_hashes(h: np.ndarray) -> np.ndarray:
-    """The smallest value of the shingles under each of TREES * DEPTH hash functions (upper 32 bits)."""
-    out = np.full(len(_A), np.iinfo(np.uint32).max, np.uint32)
+@functools.lru_cache(maxsize=16)
+def hash_functions(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and offsets; the first ones of a seed do not depend on ``n``."""
+    draw = lambda which: np.random.default_rng([seed, which]).integers(0, 1 << 62, n, dtype=np.uint64)
+    return draw(1) | np.uint64(1), draw(2)
+
+
+def min_hashes(h: np.ndarray, seed: int = 0, n: int = SKETCH) -> np.ndarray:
+    """The smallest value of the shingles under each of ``n`` hash functions (upper 32 bits)."""
+    a, b = hash_functions(seed, n)
+    out = np.full(n, np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(h), 1024):
         x = h[i : i + 1024]
-        v = ((x[None, :] * _A[:, None] + _B[:, None]) >> np.uint64(32)).astype(np.uint32)
+        v = ((x[None, :] * a[:, None] + b[:, None]) >> np.uint64(32)).astype(np.uint32)
         np.minimum(out, v.min(1), out=out)
     return out
 
@@ -126,9 +143,10 @@ _SET = "rec string, digest binary, shingles binary, sig binary, " + ", ".join(f"
 _WORDS = [f"s{i}" for i in range(WORDS)]
 
 
-def shingle_sets(records: DataFrame, width: int) -> DataFrame:
+def shingle_sets(records: DataFrame, width: int, orders: int) -> DataFrame:
     """(rec, digest, shingles, sig, s0...) of the records with at least ``width`` tokens; ``digest`` stands for the set,
-    ``sig`` holds the first MIN_DEPTH min-hashes of each tree, the words are the sketch of all."""
+    ``sig`` holds the min-hashes of the first ``orders`` orders, the words are the sketch."""
+    kept = orders * DEPTHS[0]
 
     def run(batches):
         for b in batches:
@@ -137,12 +155,12 @@ def shingle_sets(records: DataFrame, width: int) -> DataFrame:
                 h = shingles(text, width)
                 if not len(h):
                     continue
-                m = min_hashes(h)
+                m = min_hashes(h, 0, max(SKETCH, kept))
                 recs.append(rec)
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 sets.append(pack_set(h))
-                sigs.append(m.reshape(TREES, DEPTH)[:, :MIN_DEPTH].astype(">u4").tobytes())
-                words.append(sketch_of(m).view(np.int64))
+                sigs.append(m[:kept].astype(">u4").tobytes())
+                words.append(sketch_of(m[:SKETCH]).view(np.int64))
             words = np.array(words, np.int64).reshape(-1, WORDS)
             yield pa.RecordBatch.from_arrays([pa.array(recs, pa.string()), *(pa.array(x, pa.binary()) for x in (digests, sets, sigs)), *(pa.array(words[:, i]) for i in range(WORDS))], ["rec", "digest", "shingles", "sig", *_WORDS])
 
@@ -210,23 +228,57 @@ def _block_pairs(least: int):
     return run
 
 
-def forest_candidates(reps: DataFrame, threshold: float, region: int = REGION, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: pairs of (vid, sig, sketch) rows that share a region of some tree and whose sketches are close."""
+def _ordered(rows: DataFrame, orders: int, depth: int) -> DataFrame:
+    """A row of (vid, sketch, region) for each order; ``region`` stands for the order and the prefix."""
+    step = 4 * depth
+    prefixes = F.posexplode(F.array(*[F.substring("sig", 1 + step * t, step) for t in range(orders)])).alias("order", "prefix")
+    return rows.select("vid", *_WORDS, prefixes).select("vid", *_WORDS, F.xxhash64("order", "prefix", F.lit(depth)).alias("region"))
+
+
+def _signed_anew(rows: DataFrame, sets: DataFrame, depth: int, orders: int) -> DataFrame:
+    """(vid, sketch, sig) with the signatures of deeper orders, from the exact sets."""
+
+    def run(batches):
+        for b in batches:
+            sig = [min_hashes(unpack_set(x), depth, orders * depth).astype(">u4").tobytes() for x in b["shingles"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["vid"], *(b[w] for w in _WORDS), pa.array(sig, pa.binary())], ["vid", *_WORDS, "sig"])
+
+    given = rows.join(sets.select(F.col("rec").alias("first"), "shingles"), "first").select("vid", *_WORDS, "shingles")
+    return given.mapInArrow(run, "vid bigint, " + ", ".join(f"{w} bigint" for w in _WORDS) + ", sig binary")
+
+
+def forest_candidates(reps: DataFrame, sets: DataFrame, threshold: float, region: int = REGION, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: pairs of (vid, first, sig, sketch) rows that are neighbours in some order and whose sketches are close.
+
+    ``sets`` (rec, shingles) has the set of each row's ``first`` record.
+    """
     least = least_agreement(threshold)
-    step = 4 * MIN_DEPTH
-    trees = F.posexplode(F.array(*[F.substring("sig", 1 + step * t, step) for t in range(TREES)])).alias("tree", "start")
-    keyed = reps.select("vid", *_WORDS, trees).select("vid", *_WORDS, F.xxhash64("tree", "start").alias("region"))
-    crowded = materialise(keyed.groupBy("region").count().where(F.col("count") > region), "crowded")
-    if crowded.isEmpty():
-        return _pairs_by_region(keyed, _region_pairs(least)).distinct()
-    hot = broadcast_if_small(crowded)
-    blocks = keyed.join(hot, "region").withColumn("n", F.ceil(F.col("count") / block)).withColumn("mine", F.pmod(F.xxhash64("vid"), "n"))
-    # each block meets itself and every other one
+    rows, found = reps, []
+    for depth in DEPTHS:
+        orders = orders_needed(threshold, depth)
+        if depth != DEPTHS[0]:
+            rows = materialise(_signed_anew(rows, sets, depth, orders), "signed-anew")
+        keyed = _ordered(rows, orders, depth)
+        crowded = materialise(keyed.groupBy("region").count().where(F.col("count") > region), "crowded")
+        if crowded.isEmpty():
+            found.append(_pairs_by_region(keyed, _region_pairs(least)))
+            break
+        hot = broadcast_if_small(crowded)
+        found.append(_pairs_by_region(keyed.join(hot, "region", "left_anti"), _region_pairs(least)))
+        within = keyed.join(hot, "region")
+        if depth == DEPTHS[-1]:
+            found.append(_pairs_by_region(_blocks(within, block), _block_pairs(least)))
+        else:  # the rows of crowded regions are sorted anew, deeper and in more orders
+            rows = reps.select("vid", "first", *_WORDS).join(within.select("vid").distinct(), "vid", "left_semi")
+    return functools.reduce(DataFrame.unionByName, found).distinct()
+
+
+def _blocks(within: DataFrame, block: int) -> DataFrame:
+    """Units of two blocks of a region (``side`` 0 and 1), or of one block alone; each block meets itself and every other one."""
+    blocks = within.withColumn("n", F.ceil(F.col("count") / block)).withColumn("mine", F.pmod(F.xxhash64("vid"), "n"))
     met = blocks.select("vid", *_WORDS, "region", "mine", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     unit = F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region")
-    units = met.select("vid", *_WORDS, unit, (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    open_pairs = _pairs_by_region(keyed.join(hot, "region", "left_anti"), _region_pairs(least))
-    return open_pairs.unionByName(_pairs_by_region(units, _block_pairs(least))).distinct()
+    return met.select("vid", *_WORDS, unit, (F.col("mine") > F.col("other")).cast("int").alias("side"))
 
 
 def _pairs_by_region(rows: DataFrame, run) -> DataFrame:
@@ -263,12 +315,12 @@ def near_duplicates(records: DataFrame, width: int = 5, threshold: float = 0.8,
     ``records`` is (rec, text) with distinct recs.  Returns (a, b, jaccard), a < b, and (rec, vid).  Records without
     text or with fewer than ``width`` tokens are in neither.  Extra columns are ignored.
     """
-    full = materialise(shingle_sets(records, width), "shingles")
+    full = materialise(shingle_sets(records, width, orders_needed(threshold, DEPTHS[0])), "shingles")
     # the numbering is made once and written, so every later reader sees the same
     one = full.groupBy("digest", "sig", *_WORDS).agg(F.min("rec").alias("first"))
     reps = materialise(one.withColumn("vid", F.monotonically_increasing_id()), "representatives")
     members = full.select("rec", "digest").join(reps.select("digest", "vid"), "digest").select("rec", "vid")
-    links = verified(forest_candidates(reps, threshold, region, block), full, reps, threshold)
+    links = verified(forest_candidates(reps, full, threshold, region, block), full, reps, threshold)
     return materialise(links, "near-links"), materialise(members, "near-members")
 
 
