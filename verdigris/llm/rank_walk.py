@@ -7,10 +7,17 @@ probabilities come from power iteration with damping; a step over one score is a
 Missing scores (null or not a number) rank below every present one and tie with each other; equal scores tie.
 Stationary probabilities shrink with the size of a group, so they are compared and rounded relative to themselves.
 Items with equal stationary probability are ordered by id and hit_id.  Rows without a group key are in no group.
+
+An item that is better than each other in most scores (``pair_winner``) is found through the walk: the items are tried
+in the order of their probability, and whatever comes after one that failed must be better than it in most scores.  A
+winner of n items is reached from each other item by at least two of three scores, so its probability is at least
+(1 - DAMPING / 3) / n; items below that are never tried.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from verdigris.llm.batches import whole_groups
-from verdigris.runtime import materialise, release
+from verdigris.runtime import broadcast_if_small, materialise, release
 
 DAMPING = 0.85
 #: The walk stops when no probability changes by more than this part of itself.
@@ -97,35 +104,43 @@ def _rounded(p: Column) -> Column:
     return F.round(p / unit, 9) * unit
 
 
-def _pair_winner(order: np.ndarray, ends: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+def least_of_a_winner(n, scores: int = len(SCORES), damping: float = DAMPING):
+    """The least stationary probability of an item that beats each of the others in most of the scores."""
+    need = scores // 2 + 1
+    return (1 - damping + damping * need / scores) / n * (1 - 1e-9)
+
+
+def _pair_winner(p: np.ndarray, group: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     """True for an item that is better than each other of its group in most scores.
 
-    Only the survivor of a knock-out in walk order can be one; it is then held against every other item.
+    Items come in walk order (by group, most probable first).  Every group's first item that is still possible is held
+    against all others; if it does not win, only items that are better than it stay possible.
     """
-    need = len(levels) // 2 + 1
-    won = np.zeros(len(order), bool)
-    stacked = np.stack(levels, axis=1)
-    start = 0
-    for end in ends:
-        mine = order[start:end]
-        if len(mine) > 1:
-            rows = stacked[mine]
-            listed = rows.tolist()
-            at, champion = 0, listed[0]
-            for k, row in enumerate(listed):
-                if sum(a > b for a, b in zip(row, champion)) >= need:
-                    at, champion = k, row
-            if ((rows[at] > rows).sum(axis=1) >= need).sum() == len(mine) - 1:
-                won[mine[at]] = True
-        start = end
+    need, n_groups = len(levels) // 2 + 1, int(group[-1]) + 1 if len(group) else 0
+    won, size, rows = np.zeros(len(group), bool), np.bincount(group, minlength=n_groups), np.stack(levels, axis=1)
+    possible = (p >= least_of_a_winner(size[group], len(levels))) & (size[group] > 1)
+    while possible.any():
+        at = np.flatnonzero(possible)
+        tried = at[np.concatenate([[True], group[at][1:] != group[at][:-1]])]
+        of = np.full(n_groups, -1)
+        of[group[tried]] = tried
+        these = np.flatnonzero(of[group] >= 0)
+        mine, theirs = rows[these], rows[of[group[these]]]
+        beaten = np.bincount(group[these], ((theirs > mine).sum(1) >= need), n_groups)
+        winners = tried[beaten[group[tried]] == size[group[tried]] - 1]
+        won[winners] = True
+        above = np.zeros(len(group), bool)
+        above[these] = (mine > theirs).sum(1) >= need
+        above[np.isin(group, group[winners])] = False
+        possible &= above
     return won
 
 
-def _walk_batches(batches):
+def _walk_batches(batches, tolerance=TOLERANCE):
     for table in whole_groups(batches, ["search_id"]):
         search = table["search_id"].to_numpy()
         group = np.cumsum(np.concatenate([[False], search[1:] != search[:-1]])).astype(np.int64)
-        p, levels = walk(group, [table[c].to_numpy(zero_copy_only=False).astype(float) for c in SCORES])
+        p, levels = walk(group, [table[c].to_numpy(zero_copy_only=False).astype(float) for c in SCORES], tolerance=tolerance)
         # rows arrive by id and hit_id, so a stable sort breaks ties by them
         p = rounded(p)
         order = np.lexsort((np.arange(len(p)), -p, group))
@@ -133,100 +148,145 @@ def _walk_batches(batches):
         end = np.cumsum(size)
         rank = np.empty(len(p), np.int32)
         rank[order] = np.arange(len(p)) - (end - size)[group[order]] + 1
-        yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("search_id", "hit_id", "id")), pa.array(p), pa.array(rank), pa.array(_pair_winner(order, end, levels))], ["search_id", "hit_id", "id", "stationary", "walk_rank", "pair_winner"])
+        winner = np.zeros(len(p), bool)
+        winner[order] = _pair_winner(p[order], group[order], [x[order] for x in levels])
+        yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("search_id", "hit_id", "id")), pa.array(p), pa.array(rank), pa.array(winner)], ["search_id", "hit_id", "id", "stationary", "walk_rank", "pair_winner"])
 
 
 _OUT = "search_id bigint, hit_id string, id string, stationary double, walk_rank int, pair_winner boolean"
 
 
-def rank_walk(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_walk(items: DataFrame, hot_rows: int = HOT_ROWS, tolerance: float = TOLERANCE) -> DataFrame:
     """(search_id, hit_id, id, stationary, walk_rank, pair_winner) for items (search_id, hit_id, id, dense, score, share).
 
     Groups up to ``hot_rows`` rows are walked whole, many at once, in one task; larger ones by :func:`_walk_hot`.
     """
     narrow = items.where("search_id IS NOT NULL").select("search_id", "hit_id", "id", *[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in SCORES])
     narrow = materialise(narrow, "walk-items")
-    hot = [r[0] for r in narrow.groupBy("search_id").count().where(F.col("count") > hot_rows).select("search_id").collect()]  # at most rows / hot_rows
-    cool = narrow.where(~F.col("search_id").isin(hot)) if hot else narrow
-    ranked = cool.repartition("search_id").sortWithinPartitions("search_id", "id", "hit_id").mapInArrow(_walk_batches, _OUT)
-    return ranked.unionByName(_walk_hot(narrow.where(F.col("search_id").isin(hot)))) if hot else ranked
+    hot = materialise(narrow.groupBy("search_id").agg(F.count("*").alias("total")).where(F.col("total") > hot_rows), "walk-hot")
+    if hot.isEmpty():
+        cool = narrow
+    else:
+        hot = broadcast_if_small(hot)
+        cool = narrow.join(hot, "search_id", "left_anti")
+    ranked = cool.repartition("search_id").sortWithinPartitions("search_id", "id", "hit_id").mapInArrow(functools.partial(_walk_batches, tolerance=tolerance), _OUT)
+    return ranked if cool is narrow else ranked.unionByName(_walk_hot(narrow.join(hot, "search_id"), tolerance))
+
+
+def _numbered(rows: DataFrame, by: list[str], order: list[Column], to: str) -> DataFrame:
+    """Places from 1 in each group of ``by``, for groups of any size: rows are range-partitioned by the whole order, each
+    task counts on its own, and what lies in the tasks before is added."""
+    kinds, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), rows.columns
+
+    def count(batches):
+        from pyspark import TaskContext
+
+        task, seen, last = TaskContext.get().partitionId(), 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = np.array([hash(k) for k in zip(*(b[c].to_pylist() for c in by))])
+            place = np.arange(1, b.num_rows + 1)
+            new = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            begun = np.repeat(place[new] - 1, np.diff(np.append(new, b.num_rows)))
+            place -= begun
+            if codes[0] == last:
+                place[: new[1] if len(new) > 1 else b.num_rows] += seen
+            last, seen = codes[-1], int(place[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, task, np.int32)), pa.array(place)], [*names, "task", "place"])
+
+    sliced = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = materialise(sliced.mapInArrow(count, f"{kinds}, task int, place bigint"), "walk-placed")
+    held = placed.groupBy(*by, "task").agg(F.max("place").alias("held"))
+    before = held.select(*by, "task", (F.sum("held").over(W.partitionBy(*by).orderBy("task")) - F.col("held")).alias("before"))  # a row for each task and group in it
+    return placed.join(broadcast_if_small(before), [*by, "task"]).withColumn(to, F.col("place") + F.col("before")).drop("task", "place", "before")
+
+
+#: Levels of a block whose prefix sums one window holds, and over how many keys a level with many items is spread.
+BLOCK_LEVELS, SALTS = 4096, 64
+#: A level or state with more than this part of a group's items is spread.
+HOT_PART = 1 / 500
 
 
 def _cumulated(levels: DataFrame, amount: str) -> DataFrame:
-    """Adds ``cum``: the sum of ``amount`` over the levels up to and including each, in two bounded windows."""
+    """Adds ``cum``: the sum of ``amount`` over the levels up to and including each; ``level`` counts from 1."""
     at = ["search_id", "s"]
-    blocks = levels.groupBy(*at, "block").agg(F.sum(amount).alias("whole")).withColumn("before", F.sum("whole").over(W.partitionBy(*at).orderBy("block")) - F.col("whole"))
-    inside = F.sum(amount).over(W.partitionBy(*at, "block").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    return levels.withColumn("inside", inside).join(F.broadcast(blocks.drop("whole")), [*at, "block"]).withColumn("cum", F.col("before") + F.col("inside")).drop("inside", "before")
+    levels = levels.withColumn("block", F.floor((F.col("level") - 1) / BLOCK_LEVELS))
+    blocks = levels.groupBy(*at, "block").agg(F.sum(amount).alias("whole"))
+    blocks = blocks.withColumn("before", F.sum("whole").over(W.partitionBy(*at).orderBy("block")) - F.col("whole")).drop("whole")
+    inside = F.sum(amount).over(W.partitionBy(*at, "block").orderBy("level").rowsBetween(W.unboundedPreceding, 0))
+    return levels.withColumn("inside", inside).join(broadcast_if_small(blocks), [*at, "block"]).withColumn("cum", F.col("before") + F.col("inside")).drop("inside", "before", "block")
 
 
-def _walk_hot(items: DataFrame, blocks: int = 1000, tolerance: float = TOLERANCE, steps: int = MAX_STEPS) -> DataFrame:
-    """The same walk for groups too large for a task.
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
+    """``rows`` joined with a ``table`` of distinct keys; the keys marked ``hot`` there are spread over SALTS copies.
 
-    Items of equal value share a level, so a tie of any size is one pre-aggregated row.  Levels fall into about
-    ``blocks`` blocks by approximate quantiles (bounded per group); prefix sums run over blocks, then inside them.
+    Hot keys hold more than HOT_PART of a group each, so there are at most 1 / HOT_PART of them in a group.
     """
-    low = F.lit(float("-inf"))
-    long = items.select("search_id", "hit_id", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.coalesce(F.col(c), low).alias("value"), F.col(c).isNotNull().cast("int").alias("there")) for i, c in enumerate(SCORES)])).alias("x")).select("search_id", "hit_id", "x.*")
+    hot = broadcast_if_small(table.where("hot").select(*keys, F.lit(True).alias("spread")))
+    salted = rows.join(hot, keys, "left").withColumn("salt", F.when(F.col("spread"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))).drop("spread")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    return salted.join(table.withColumn("salt", F.explode(copies)), [*keys, "salt"]).drop("salt")
+
+
+def _walk_hot(items: DataFrame, tolerance: float = TOLERANCE, steps: int = MAX_STEPS) -> DataFrame:
+    """The same walk for groups too large for a task; ``items`` carry their group's ``total``.
+
+    Items of equal value share a level, and items with the same levels in all scores share a state, so a tie of any
+    size is one row of the iteration.  Prefix sums run inside blocks of levels and over the blocks.
+    """
+    low, n = F.lit(float("-inf")), len(SCORES)
     # a present minus infinity stays above a missing score
-    long = long.select("search_id", "hit_id", "s", F.struct("there", "value").alias("value"))
-    cuts = long.groupBy("search_id", "s").agg(F.percentile_approx(F.col("value.value"), [i / blocks for i in range(1, blocks)], 10 * blocks).alias("cuts"), F.count("*").alias("total"))
-    placed = long.join(F.broadcast(cuts), ["search_id", "s"]).withColumn("block", F.when(F.col("value.there") == 0, -1).otherwise(F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("value.value")))))
-    placed = materialise(placed.drop("cuts"), "walk-placed")
-    at = ["search_id", "s", "value"]
-    counts = _cumulated(placed.groupBy(*at, "block").agg(F.count("*").alias("n"), F.first("total").alias("total")), "n")
-    levels = materialise(counts.select(*at, (F.col("total") - F.col("cum") + F.col("n")).alias("at_least"), "cum"), "walk-levels")
-    items_long = materialise(placed.join(levels, at), "walk-long")
-    p = materialise(items_long.where("s = 0").select("search_id", "hit_id", (1 / F.col("total")).alias("p")), "walk-p")
+    scores = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(c).isNotNull().cast("int").alias("there"), F.coalesce(F.col(c), low).alias("value")) for i, c in enumerate(SCORES)]))
+    long = materialise(items.select("search_id", "hit_id", "total", scores.alias("x")).select("search_id", "hit_id", "total", "x.*"), "walk-long")
+    counts = long.groupBy("search_id", "s", "there", "value").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    numbered = _numbered(counts, ["search_id", "s"], [F.col("there"), F.col("value")], "level")
+    levels = _cumulated(numbered, "n").withColumn("at_least", F.col("total") - F.col("cum") + F.col("n")).withColumn("hot", F.col("n") > HOT_PART * F.col("total"))
+    levels = materialise(levels.select("search_id", "s", "there", "value", "level", "at_least", "hot"), "walk-levels")
+    placed = _looked_up(long, levels, ["search_id", "s", "there", "value"], "hit_id")
+    legs_of = [F.max(F.when(F.col("s") == i, F.struct("level", "at_least", "hot"))).alias(f"l{i}") for i in range(n)]
+    wide = materialise(placed.groupBy("search_id", "hit_id").agg(F.first("total").alias("total"), *legs_of), "walk-wide")
+    names = [f"l{i}" for i in range(n)]
+    states = wide.groupBy("search_id", *names).agg(F.count("*").alias("m"), F.first("total").alias("total")).withColumn("state", F.monotonically_increasing_id())
+    states = materialise(states, "walk-states")
+    legs = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), f"l{i}.*") for i in range(n)])).alias("x")
+    legs = materialise(states.select("search_id", "state", "m", "total", legs).select("search_id", "state", "m", "total", "x.*"), "walk-legs")
+    hot = levels.select("search_id", "s", "level", "hot")
+    p = materialise(states.select("search_id", "state", (1 / F.col("total")).alias("p")), "walk-p")
     for _ in range(steps):
-        given = items_long.join(p, ["search_id", "hit_id"]).groupBy(*at, "block").agg(F.sum(F.col("p") / F.col("at_least")).alias("w"))
-        got = _cumulated(given, "w").select(*at, F.col("cum").alias("got"))
-        new = items_long.join(got, at).groupBy("search_id", "hit_id").agg(((1 - DAMPING) / F.first("total") + DAMPING / len(SCORES) * F.sum("got")).alias("p"))
+        mass = legs.join(p, ["search_id", "state"]).groupBy("search_id", "s", "level").agg(F.sum(F.col("p") * F.col("m") / F.col("at_least")).alias("w"), F.first("hot").alias("hot"))
+        got = materialise(_cumulated(mass, "w").select("search_id", "s", "level", "hot", F.col("cum").alias("got")), "walk-got")
+        new = _looked_up(legs.drop("hot"), got, ["search_id", "s", "level"], "state").groupBy("search_id", "state").agg(((1 - DAMPING) / F.first("total") + DAMPING / n * F.sum("got")).alias("p"))
         new = materialise(new, "walk-p")
-        moved = new.join(p.withColumnRenamed("p", "old"), ["search_id", "hit_id"]).agg(F.max(F.abs(F.col("p") - F.col("old")) / F.col("p"))).first()[0]
-        release(p)
+        moved = new.join(p.withColumnRenamed("p", "old"), ["search_id", "state"]).agg(F.max(F.abs(F.col("p") - F.col("old")) / F.col("p"))).first()[0]
+        release(p, got)
         p = new
         if moved < tolerance:
             break
-    wide = items_long.groupBy("search_id", "hit_id").pivot("s", list(range(len(SCORES)))).agg(F.first("cum"))
-    wide = materialise(wide.join(p, ["search_id", "hit_id"]).withColumn("p", _rounded(F.col("p"))), "walk-wide")
-    need = len(SCORES) // 2 + 1
-    better = lambda a, b: sum((F.col(f"{a}.{i}") > F.col(f"{b}.{i}")).cast("int") for i in range(len(SCORES))) >= need
-    names = [str(i) for i in range(len(SCORES))]
-
-    def knock_out(batches):
-        for best in _survivors(batches, names, need):
-            yield best
-
-    # any tree of knock-outs keeps a winner over all: first in each task, then over the tasks' survivors
-    schema = wide.select("search_id", "hit_id", *names).schema
-    champions = wide.select("search_id", "hit_id", *names).mapInArrow(knock_out, schema).repartition("search_id").mapInArrow(knock_out, schema)
-    champions = materialise(champions, "walk-champions")
-    held = wide.alias("w").join(F.broadcast(champions.alias("c")), "search_id")
-    lost = held.where((F.col("w.hit_id") != F.col("c.hit_id")) & ~better("c", "w")).select("search_id").distinct()
-    winners = champions.join(lost, "search_id", "left_anti").select("search_id", "hit_id", F.lit(True).alias("pair_winner"))
-    # ranks: places inside blocks of stationary values, plus the sizes of the blocks above
-    ordered = wide.select("search_id", "hit_id", "p").join(items.select("search_id", "hit_id", "id"), ["search_id", "hit_id"])
-    cuts = ordered.groupBy("search_id").agg(F.percentile_approx("p", [i / blocks for i in range(1, blocks)], 10 * blocks).alias("cuts"))
-    ordered = ordered.join(F.broadcast(cuts), "search_id").withColumn("block", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("p")))).withColumn("salt", F.substring("id", 1, 3)).drop("cuts")
-    sizes = ordered.groupBy("search_id", "block", "salt").count()
-    sizes = sizes.withColumn("before", F.sum("count").over(W.partitionBy("search_id").orderBy(F.desc("block"), "salt")) - F.col("count")).drop("count")
-    # a block of ties is cut by id, but only blocks of one value may be: others are ranked as wholes
-    exact = ordered.groupBy("search_id", "block").agg((F.min("p") == F.max("p")).alias("flat"))
-    whole = ordered.groupBy("search_id", "block").count().withColumn("above", F.sum("count").over(W.partitionBy("search_id").orderBy(F.desc("block"))) - F.col("count")).drop("count")
-    ordered = ordered.join(F.broadcast(exact), ["search_id", "block"]).join(F.broadcast(whole), ["search_id", "block"]).join(sizes, ["search_id", "block", "salt"]).withColumn("part", F.when(F.col("flat"), F.col("salt")))
-    place = F.row_number().over(W.partitionBy("search_id", "block", "part").orderBy(F.desc("p"), "id", "hit_id"))
-    ranked = ordered.withColumn("walk_rank", (place + F.when(F.col("flat"), F.col("before")).otherwise(F.col("above"))).cast("int"))
-    return ranked.join(winners, ["search_id", "hit_id"], "left").select("search_id", "hit_id", "id", F.col("p").alias("stationary"), "walk_rank", F.coalesce("pair_winner", F.lit(False)).alias("pair_winner"))
-
-
-def _survivors(batches, names, need):
-    """One surviving row for each group seen in a task."""
-    best: dict = {}
-    for b in batches:
-        rows = zip(b["search_id"].to_pylist(), b["hit_id"].to_pylist(), *[b[c].to_pylist() for c in names])
-        for search, hit, *levels in rows:
-            if search not in best or sum(x > y for x, y in zip(levels, best[search][1])) >= need:
-                best[search] = (hit, levels)
-    if best:
-        yield pa.RecordBatch.from_arrays([pa.array(list(best)), pa.array([h for h, _ in best.values()]), *[pa.array([lv[i] for _, lv in best.values()]) for i in range(len(names))]], ["search_id", "hit_id", *names])
+    states = states.join(p, ["search_id", "state"]).select("search_id", "state", *[F.col(f"{c}.level").alias(c) for c in names], "m", "total", _rounded(F.col("p")).alias("p"), (F.col("m") > HOT_PART * F.col("total")).alias("hot"))
+    states = materialise(states, "walk-ranked-states")
+    winners = _hot_winners(states, names)
+    flat = wide.select("search_id", "hit_id", *[F.col(f"{c}.level").alias(c) for c in names])
+    found = _looked_up(flat, states.select("search_id", *names, "state", "p", "hot"), ["search_id", *names], "hit_id").join(winners, ["search_id", "state"], "left")
+    found = found.select("search_id", "hit_id", "p", F.coalesce("won", F.lit(False)).alias("pair_winner")).join(items.select("search_id", "hit_id", "id"), ["search_id", "hit_id"])
+    ranked = _numbered(found, ["search_id"], [F.desc("p"), F.col("id"), F.col("hit_id")], "walk_rank")
+    return ranked.select("search_id", "hit_id", "id", F.col("p").alias("stationary"), F.col("walk_rank").cast("int").alias("walk_rank"), "pair_winner")
+
+
+def _hot_winners(states: DataFrame, names: list[str]) -> DataFrame:
+    """(search_id, state, won): :func:`_pair_winner` over the states of large groups, one tried state a group and round."""
+    need = len(names) // 2 + 1
+    better = lambda a, b: sum((F.col(f"{a}{c}") > F.col(f"{b}{c}")).cast("int") for c in names) >= need
+    possible = states.where(F.col("p") >= least_of_a_winner(F.col("total"), len(names)))
+    won = None
+    while True:
+        tried = possible.groupBy("search_id").agg(F.max_by(F.struct("state", "m", *names), F.struct("p", -F.col("state"))).alias("t")).select("search_id", F.col("t.state").alias("tried"), F.col("t.m").alias("copies"), *[F.col(f"t.{c}").alias(f"t{c}") for c in names])
+        tried = materialise(tried, "walk-tried")  # a row for each large group
+        if tried.isEmpty():
+            break
+        held = broadcast_if_small(tried)
+        tally = states.join(held, "search_id").groupBy("search_id", "tried", "copies").agg(F.sum(F.when(better("t", ""), F.col("m")).otherwise(0)).alias("beaten"), F.first("total").alias("total"))
+        new = materialise(tally.where("copies = 1 AND beaten = total - 1").select("search_id", F.col("tried").alias("state"), F.lit(True).alias("won")), "walk-won")
+        won = new if won is None else won.unionByName(new)
+        possible = materialise(possible.join(held, "search_id").where(better("", "t")).select(*states.columns).join(new.select("search_id"), "search_id", "left_anti"), "walk-possible")
+    return won if won is not None else states.select("search_id", "state", F.lit(True).alias("won")).limit(0)
