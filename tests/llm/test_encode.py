@@ -43,3 +43,11 @@ def test_empty_table(spark):
 def test_round_trip(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(sample_texts())], "doc_id bigint, text string")
     assert all(r.same for r in E.round_trip(df).collect())
+
+
+def test_repeated_and_null_keys_and_carried_columns(spark):
+    long = "word " * 9000
+    df = spark.createDataFrame([(1, long, "a"), (1, long, "b"), (None, long + "x", "c"), (None, None, "d"), (1, "hi", None)], "doc_id bigint, text string, source string")
+    got = sorted((r.source or "", r.doc_id or 0, len(r.ids)) for r in E.encode(df, keep=("source",)).collect())
+    n, m = (len(x) for x in reference_ids([long, long + "x"]))
+    assert got == [("", 1, 1), ("a", 1, n), ("b", 1, n), ("c", 0, m), ("d", 0, 0)]

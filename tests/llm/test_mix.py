@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,26 @@ def test_a_larger_mix_tempers_the_shares(spark):
     assert all_of_it["big"].n_rows == 1000 and all_of_it["small"].n_rows == 20
 
 
+def test_all_available_tokens_temper_the_shares(spark):
+    """The exponent is the smallest that no repetition limit forbids, and the shares planned are reached."""
+    spec = {"big": (4000, 50), "mid": (900, 40), "small": (60, 30)}
+    mixed, got = run(spark, spec, [("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 4)], total="available")
+    assert 0 < got["small"].exponent < 1 and got["small"].most_used <= 4 and sum(r.tokens for r in got.values()) == pytest.approx(237_800, rel=0.01)
+    assert all(abs(r.planned_share - r.reached_share) < 0.01 for r in got.values())
+    most = {"big": 200_000, "mid": 72_000, "small": 7_200}
+    below = X.normalised({s: t ** (1 - e) * most[s] ** e for s, t, e in (("big", 0.5, got["big"].exponent - 1e-3), ("mid", 0.3, got["big"].exponent - 1e-3), ("small", 0.2, got["big"].exponent - 1e-3))})
+    assert any(237_800 * w > most[s] for s, w in below.items())
+
+
+def test_entropy_mix_is_realised(spark):
+    spec = {"big": (4000, 50), "mid": (900, 40), "small": (60, 30)}
+    wanted = [("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 4)]
+    mixed, got = run(spark, spec, wanted, entropy="targets")
+    goal = -sum(t * math.log(t) for _, t, _ in wanted)
+    assert -sum(r.planned_share * math.log(r.planned_share) for r in got.values()) == pytest.approx(goal, abs=1e-6)
+    assert all(abs(r.planned_share - r.reached_share) < 0.01 and r.most_used <= r.max_repeats for r in got.values()) and 0 < got["big"].exponent < 1
+
+
 def test_same_every_time(spark):
     spec = {"a": (300, 7), "b": (300, 5)}
     one, two = (sorted(map(tuple, run(spark, spec, [("a", 0.9, 1), ("b", 0.1, 1)])[0].collect())) for _ in range(2))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 
 import pyarrow as pa
 import regex
@@ -97,21 +98,24 @@ def chunk_boundaries(text: str, chunk: int, overlap: int, last: bool) -> tuple[l
     return head, tail
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = DEFAULT_DIR, name: str = DEFAULT_NAME, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """(key, ids) for every row; the ids of an empty or null text are an empty list.
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = DEFAULT_DIR, name: str = DEFAULT_NAME, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep..., ids) for every row; the ids of an empty or null text are an empty list.
 
-    Keys must identify rows for texts of more than ``chunk`` characters; a null key is kept.  Extra columns are ignored.
+    Rows with a null or repeated key are encoded one by one like any other.  Columns not named are left out.
     """
     if not BLIND < overlap < chunk:
         raise ValueError("needs overlap < chunk, and an overlap longer than a contraction")
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    kind = rows.schema["k"].dataType.simpleString()
-    short = rows.where(f"t IS NULL OR char_length(t) <= {chunk}").mapInArrow(_encode_batches(folder, name, 1, ["k", "ids"]), f"k {kind}, ids array<int>")
-    long = rows.where(f"char_length(t) > {chunk}")
+    carried = [f"keep{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(key).alias("k"), *[F.col(c).alias(a) for c, a in zip(keep, carried)], F.col(text).alias("t"))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    fixed = ["k", *carried]
+    short = rows.where(f"t IS NULL OR char_length(t) <= {chunk}").mapInArrow(_encode_batches(folder, name, len(fixed), [*fixed, "ids"]), f"{kinds}ids array<int>")
+    # a long text is known by its row, as keys may repeat
+    long = rows.where(f"char_length(t) > {chunk}").withColumn("r", F.monotonically_increasing_id())
     # linear cutting: the chunks follow each other, then each gets the start of its successor
-    parts = long.select("k", F.regexp_extract_all("t", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
-    parts = parts.select("k", F.posexplode(F.transform("c", lambda x, i: F.struct(x.alias("own"), F.coalesce(F.left(F.get("c", i + 1), F.lit(overlap)), F.lit("")).alias("next"), (i == F.size("c") - 1).alias("last")))).alias("i", "x")).select("k", "i", "x.*")
-    parts = parts.repartition("k", "i")
+    parts = long.select(*fixed, "r", F.regexp_extract_all("t", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
+    parts = parts.select(*fixed, "r", F.posexplode(F.transform("c", lambda x, i: F.struct(x.alias("own"), F.coalesce(F.left(F.get("c", i + 1), F.lit(overlap)), F.lit("")).alias("next"), (i == F.size("c") - 1).alias("last")))).alias("i", "x")).select(*fixed, "r", "i", "x.*")
+    parts = parts.repartition("r", "i")
 
     def scan(batches):
         for b in batches:
@@ -120,28 +124,33 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
                 head, tail = chunk_boundaries(own + nxt, chunk, overlap, last or len(nxt) < overlap)
                 heads.append(head)
                 tails.append(tail)
-            yield pa.RecordBatch.from_arrays([b["k"], b["i"], b["last"], b["own"], b["next"], _id_lists(heads), _id_lists(tails)], ["k", "i", "last", "own", "next", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([*b.columns, _id_lists(heads), _id_lists(tails)], [*b.schema.names, "head", "tail"])
 
-    scanned = parts.mapInArrow(scan, f"k {kind}, i int, last boolean, own string, next string, head array<int>, tail array<int>")
-    order = W.partitionBy("k").orderBy("i")
+    scanned = parts.mapInArrow(scan, f"{kinds}r bigint, i int, own string, next string, last boolean, head array<int>, tail array<int>")
+    order = W.partitionBy("r").orderBy("i")
     synced = scanned.withColumn("upto", F.array_min(F.array_intersect("tail", F.lead("head").over(order)))).withColumn("from", F.coalesce(F.lag("upto").over(order), F.lit(0)))
-    synced = synced.withColumn("broken", F.max(F.col("upto").isNull() & ~F.col("last")).over(W.partitionBy("k")))
+    synced = synced.withColumn("broken", F.max(F.col("upto").isNull() & ~F.col("last")).over(W.partitionBy("r")))
     whole = F.concat("own", F.left("next", F.coalesce("upto", F.lit(0))))
-    pieces = synced.where("NOT broken").select("k", "i", F.substring(whole, F.col("from") + 1, F.lit(2 * chunk)).alias("t"))
-    joined = synced.where("broken").groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "own"))), lambda s: s["own"]), "").alias("t")).select("k", F.lit(0).alias("i"), "t")
-    coded = pieces.unionByName(joined).mapInArrow(_encode_batches(folder, name, 2, ["k", "i", "ids"]), f"k {kind}, i int, ids array<int>")
-    strung = coded.groupBy("k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda s: s["ids"])).alias("ids"))
-    return short.unionByName(strung).select(F.col("k").alias(key), "ids")
+    pieces = synced.where("NOT broken").select(*fixed, "r", "i", F.substring(whole, F.col("from") + 1, F.lit(2 * chunk)).alias("t"))
+    first = [F.first(c).alias(c) for c in fixed]
+    joined = synced.where("broken").groupBy("r").agg(*first, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "own"))), lambda s: s["own"]), "").alias("t")).select(*fixed, "r", F.lit(0).alias("i"), "t")
+    coded = pieces.unionByName(joined).mapInArrow(_encode_batches(folder, name, len(fixed) + 2, [*fixed, "r", "i", "ids"]), f"{kinds}r bigint, i int, ids array<int>")
+    strung = coded.groupBy("r").agg(*first, F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda s: s["ids"])).alias("ids"))
+    return short.unionByName(strung.drop("r")).select(F.col("k").alias(key), *[F.col(a).alias(c) for c, a in zip(keep, carried)], "ids")
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", folder: str = DEFAULT_DIR, name: str = DEFAULT_NAME) -> DataFrame:
-    """(key, n_tokens, same): whether decoding a text's ids gives its bytes back (null counts as empty)."""
+    """(key, n_tokens, same): whether decoding a text's ids gives its bytes back (null counts as empty).
+
+    The texts' hashes travel with the ids, so nothing is joined.
+    """
     kind = docs.schema[key].dataType.simpleString()
-    coded = encode(docs, key, folder=folder, name=name).join(docs.select(key, F.coalesce("text", F.lit("")).alias("text")), key)
+    coded = encode(docs.select(key, "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), key, folder=folder, name=name, keep=("sha",))
 
     def check(batches):
         for b in batches:
-            same = [decode_bytes(ids, folder, name) == t.encode() for ids, t in zip(b["ids"].to_pylist(), b["text"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b[key], pa.array([len(x) for x in b["ids"].to_pylist()], pa.int32()), pa.array(same)], [key, "n_tokens", "same"])
+            ids = b["ids"].to_pylist()
+            same = [hashlib.sha256(decode_bytes(x, folder, name)).hexdigest() == sha for x, sha in zip(ids, b["sha"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b[key], pa.array([len(x) for x in ids], pa.int32()), pa.array(same)], [key, "n_tokens", "same"])
 
-    return coded.select(key, "ids", "text").mapInArrow(check, f"`{key}` {kind}, n_tokens int, same boolean")
+    return coded.select(key, "ids", "sha").mapInArrow(check, f"`{key}` {kind}, n_tokens int, same boolean")

@@ -72,23 +72,27 @@ def entropy_shares(tokens: dict, entropy: float) -> tuple[dict, float]:
 
 def sized(documents: DataFrame, folder: str = DEFAULT_DIR, name: str = DEFAULT_NAME) -> DataFrame:
     """(doc_id, source, n_tokens) of the documents with a source, an id and at least one token."""
-    counted = encode(documents, "doc_id", folder=folder, name=name).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens")).where("n_tokens > 0")
-    named = documents.where("doc_id IS NOT NULL AND source IS NOT NULL").select("doc_id", source_name(F.col("source")).alias("source"))
-    return named.join(counted, "doc_id")
+    rows = documents.where("doc_id IS NOT NULL AND source IS NOT NULL").select("doc_id", "text", source_name(F.col("source")).alias("source"))
+    coded = encode(rows, "doc_id", folder=folder, name=name, keep=("source",))
+    return coded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens")).where("n_tokens > 0")
 
 
-def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix(sizes: DataFrame, targets: DataFrame, total: float | str | None = None, entropy: float | str | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
     ``sizes`` is (doc_id, source, n_tokens), ``targets`` (source, target_share, max_repeats).  ``total`` is the size of
     the mix in tokens; by default the largest at which every source that has documents reaches its target share, so
-    a scarce source bounds the size rather than missing its share.  Sources that are absent, have no positive share or
+    a scarce source bounds the size rather than missing its share; ``"available"`` stands for all tokens of the target
+    sources, each once, which tempers the shares wherever a source is scarce.  With ``entropy`` (in nats, or
+    ``"targets"`` for that of the target shares) the shares are natural ones tempered to it instead, at the largest size
+    that no repetition limit forbids.  Sources that are absent, have no positive share or
     no permitted repeat get nothing, and the others share what is left in proportion.  Sources without a target are
     not used.
 
     The mix is (doc_id, source, copy, block, n_tokens), one row for each use of a document, ``copy`` counting from 1;
     within a copy, blocks in the order of ``block`` are a random order of the source.  The report is one row for each
-    target: (source, target_share, max_repeats, available_tokens, planned_share, tokens, reached_share, n_docs, n_rows, most_used).
+    target: (source, target_share, max_repeats, available_tokens, exponent, planned_share, tokens, reached_share, n_docs, n_rows,
+    most_used); ``exponent`` is how far the shares were tempered, 0 being the target shares and 1 those of the supply.
     """
     targets = targets.where("source IS NOT NULL").groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     supply = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
@@ -98,8 +102,15 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     usable = [r for r in plan if r.tokens and (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0]
     wanted = normalised({r.source: r.target_share for r in usable})
     most = {r.source: r.tokens * r.max_repeats for r in usable}
-    size = min([most[s] / t for s, t in wanted.items()], default=0.0) if total is None else min(total, sum(most.values()))
-    shares, _ = tempered_shares(wanted, most, size) if usable else ({}, 0.0)
+    fits = lambda shares: min([most[s] / w for s, w in shares.items()], default=0.0)
+    shares, exponent, size = {}, 0.0, 0.0
+    if usable and entropy is not None:
+        goal = -sum(w * math.log(w) for w in wanted.values()) if entropy == "targets" else entropy
+        shares, power = entropy_shares({r.source: r.tokens for r in usable}, goal)
+        exponent, size = power, min(fits(shares), total if isinstance(total, (int, float)) else math.inf)
+    elif usable:
+        size = fits(wanted) if total is None else min(sum(r.tokens for r in usable) if total == "available" else total, sum(most.values()))
+        shares, exponent = tempered_shares(wanted, most, size)
     spark = sizes.sparkSession
     budgets = []
     for r in usable:
@@ -125,6 +136,6 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     used = per_doc.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs"), F.sum("uses").alias("n_rows"), F.max("uses").alias("most_used"))
     all_tokens = mixed.agg(F.sum("n_tokens")).first()[0] or 0
     report = targets.join(used, "source", "left").join(supply.select("source", F.col("tokens").alias("available_tokens")), "source", "left").join(F.broadcast(plans.select("source", F.col("planned").alias("planned_share"))), "source", "left")
-    report = report.fillna(0, ["tokens", "n_docs", "n_rows", "most_used", "available_tokens"]).fillna(0.0, ["planned_share"])
+    report = report.withColumn("exponent", F.lit(float(exponent))).fillna(0, ["tokens", "n_docs", "n_rows", "most_used", "available_tokens"]).fillna(0.0, ["planned_share"])
     reached = F.col("tokens") / F.lit(float(all_tokens)) if all_tokens else F.lit(0.0)
-    return mixed, report.select("source", "target_share", "max_repeats", "available_tokens", "planned_share", "tokens", reached.alias("reached_share"), "n_docs", "n_rows", "most_used")
+    return mixed, report.select("source", "target_share", "max_repeats", "available_tokens", "exponent", "planned_share", "tokens", reached.alias("reached_share"), "n_docs", "n_rows", "most_used")

@@ -1,9 +1,7 @@
 """Queries of problems 7 (encoding) and 8 (mixing)."""
 
-from pyspark.sql import functions as F
-
 from verdigris.llm.encode import DEFAULT_DIR, encode, round_trip
-from verdigris.llm.mix import entropy_shares, mix, normalised, sized
+from verdigris.llm.mix import mix, sized
 from verdigris.runtime import materialise, read_table, spread
 
 
@@ -20,12 +18,13 @@ def p7_round_trip(spark, sf_dir):
     return round_trip(spread(read_table(spark, sf_dir, "documents")), folder=_folder(spark))
 
 
-def _mixed(spark, sf_dir):
+def _mixed(spark, sf_dir, **how):
     sizes = materialise(sized(spread(read_table(spark, sf_dir, "documents")), folder=_folder(spark)), "mix-sizes")
-    return mix(sizes, read_table(spark, sf_dir, "mix_targets"))
+    return mix(sizes, read_table(spark, sf_dir, "mix_targets"), **how)
 
 
 def p8_mix(spark, sf_dir):
+    """Exact target shares, as the problem has it: the scarcest source bounds the size, so the exponent is 0."""
     return _mixed(spark, sf_dir)[0]
 
 
@@ -33,18 +32,23 @@ def p8_shares(spark, sf_dir):
     return _mixed(spark, sf_dir)[1]
 
 
+def p8_tempered(spark, sf_dir):
+    """As many tokens as the target sources have: scarce sources are repeated to their limits and the shares tempered."""
+    return _mixed(spark, sf_dir, total="available")[0]
+
+
+def p8_tempered_shares(spark, sf_dir):
+    return _mixed(spark, sf_dir, total="available")[1]
+
+
 def p8_entropy(spark, sf_dir):
-    """Natural shares tempered to the entropy of the target shares."""
-    sizes = sized(spread(read_table(spark, sf_dir, "documents")), folder=_folder(spark)).groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    rows = read_table(spark, sf_dir, "mix_targets").join(sizes, "source").where("tokens > 0 AND target_share > 0").limit(1000).collect()
-    if not rows:
-        return spark.createDataFrame([], "source string, tokens bigint, power double, share double")
-    import math
+    """Natural shares tempered to the entropy of the target shares, realised as blocks."""
+    return _mixed(spark, sf_dir, entropy="targets")[0]
+
 
-    goal = -sum(w * math.log(w) for w in normalised({r.source: r.target_share for r in rows}).values())
-    shares, power = entropy_shares({r.source: r.tokens for r in rows}, goal)
-    return spark.createDataFrame([(r.source, r.tokens, round(power, 9), round(shares[r.source], 9)) for r in rows], "source string, tokens bigint, power double, share double")
+def p8_entropy_shares(spark, sf_dir):
+    return _mixed(spark, sf_dir, entropy="targets")[1]
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_entropy": p8_entropy}
+QUERIES = {f.__name__: f for f in (p7_ids, p7_round_trip, p8_mix, p8_shares, p8_tempered, p8_tempered_shares, p8_entropy, p8_entropy_shares)}
 SQL = {}
