@@ -52,6 +52,25 @@ def _lookback(core: Column, overlap: int) -> Column:
     return F.when(word != "", word).otherwise(F.right(core, F.lit(overlap)))
 
 
+#: Pieces whose sizes are summed one by one; the sums of whole runs of so many are kept.
+RUN = 64
+
+
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0).cast("bigint"), lambda n, size: n + size)
+
+
+def _offsets(sizes: str) -> Column:
+    """What stands before each piece: whole runs of RUN pieces, summed once, and the rest of its own run.
+
+    A fold over all pieces would copy its array for each of them.
+    """
+    runs = F.floor((F.size(sizes) - 1) / RUN).cast("int")
+    whole = F.when(runs > 0, F.transform(F.sequence(F.lit(0), runs - 1), lambda r: _total(F.slice(sizes, r * RUN + 1, F.lit(RUN))))).otherwise(F.array().cast("array<bigint>"))
+    before = F.aggregate(whole, F.array(F.lit(0).cast("bigint")), lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
+    return F.transform(sizes, lambda _, i: F.element_at(before, (i / RUN).cast("int") + 1) + _total(F.slice(sizes, (i / RUN).cast("int") * RUN + 1, i % RUN)))
+
+
 def split_oversized(records: DataFrame, limit: int, overlap: int) -> DataFrame:
     """Pieces of every (rec, text) with more than ``limit`` characters (code points).
 
@@ -61,7 +80,7 @@ def split_oversized(records: DataFrame, limit: int, overlap: int) -> DataFrame:
     row by row.  Extra columns are ignored.
     """
     long = records.where(F.char_length("text") > limit).select("rec", F.regexp_extract_all("text", F.lit(seam_pattern(limit, overlap)), F.lit(0)).alias("cores"))
+    long = long.withColumn("sizes", F.transform("cores", F.char_length))
     back = F.transform("cores", lambda c, i: F.when(i == 0, "").otherwise(_lookback(F.get("cores", i - 1), overlap)))
-    ends = F.aggregate("cores", F.array(F.lit(0).cast("bigint")), lambda done, c: F.array_append(done, F.element_at(done, -1) + F.char_length(c)))
-    packed = long.select("rec", F.size("cores").alias("n_pieces"), F.posexplode(F.arrays_zip("cores", back.alias("back"), ends.alias("at"))).alias("i", "x")).where("i < n_pieces")
+    packed = long.select("rec", F.size("cores").alias("n_pieces"), F.posexplode(F.arrays_zip("cores", back.alias("back"), _offsets("sizes").alias("at"))).alias("i", "x"))
     return packed.select("rec", (F.col("i") + 1).alias("piece"), "n_pieces", (F.col("x.at") - F.char_length("x.back")).alias("start"), F.char_length("x.back").alias("overlap"), F.concat("x.back", "x.cores").alias("text"))
