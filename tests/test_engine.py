@@ -9,10 +9,10 @@ from verdigris.operators.encoding import HashingEncoder, encode
 from verdigris.plans.engine import Engine
 from verdigris.service import App, Problem
 
-QUERY = "Given two integers a and b, print their sum.\n\n-----Examples-----\nInput\n2 3\n\nOutput\n5\n\nInput\n10 -4\n\nOutput\n6\n"
-RIGHT = "a, b = map(int, input().split())\nprint(a + b)\n"
-ALIKE = "a, b = map(int, input().split())\nprint(a - b)  # sum of integers a b\n"
-OTHER = "s = input()\nprint(s[::-1])\n"
+QUERY = "A word and a number n stand on one line. Print the word n times without blanks.\n\n-----Examples-----\nInput\nab 3\n\nOutput\nababab\n\nInput\nxyz 2\n\nOutput\nxyzxyz\n"
+RIGHT = "word, n = input().split()\nprint(word * int(n))\n"
+ALIKE = "word, n = input().split()\nprint(word, int(n))  # print the word n times, a number n on one line\n"
+OTHER = "rows = sorted(open(0))\nprint(len(rows), rows[-1])\n"
 
 
 def snippets(spark, rows):
@@ -24,45 +24,45 @@ def engine(spark, tmp_path_factory):
     home = f"file://{tmp_path_factory.mktemp('home')}"
     e = Engine(spark, Settings(home=home, top_verify=2, expand=2, case_timeout=1.0))
     assert e.stores() == []
-    one = e.add_version("demo", "v1", snippets(spark, [("sum", RIGHT), ("rev", OTHER), ("none", None)]), parent=None)
+    one = e.add_version("demo", "v1", snippets(spark, [("twice", RIGHT), ("rows", OTHER), ("none", None)]), parent=None)
     assert one["diff"] == {"added": 2, "removed": 0, "modified": 0, "unchanged": 0} and one["newly_embedded"] == 2
-    two = e.add_version("demo", "v2", snippets(spark, [("sum", ALIKE), ("more", "print(1)\n"), ("rev", None)]), partial=True)
+    two = e.add_version("demo", "v2", snippets(spark, [("twice", ALIKE), ("more", "print(1)\n"), ("rows", None)]), partial=True)
     assert two["diff"] == {"added": 1, "removed": 1, "modified": 1, "unchanged": 0} and two["newly_embedded"] == 2
-    three = e.add_version("demo", "v3", snippets(spark, [("sum", RIGHT)]), partial=True)
+    three = e.add_version("demo", "v3", snippets(spark, [("twice", RIGHT)]), partial=True)
     assert three["diff"] == {"added": 0, "removed": 0, "modified": 1, "unchanged": 1} and three["newly_embedded"] == 0
     return e
 
 
 def test_verification_reranks(engine):
     dense = engine.search(QUERY, "demo", "all", k=3, verify=False)
-    assert dense["hits"][0]["meta"]["uid"] == "sum" and dense["stats"]["verified"] == 0
+    assert dense["hits"][0]["meta"]["uid"] == "twice" and dense["stats"]["verified"] == 0
     found = engine.search(QUERY, "demo", "all", k=3)
     top = found["hits"][0]
     assert top["verification"]["tier"] == "pass_all" and top["text"] == RIGHT and top["meta"]["versions"] == ["v1", "v3"]
     assert found["profile"]["kind"] == "task_with_examples" and found["stats"]["verified"] == 2 and found["stats"]["expanded"] == 0
-    assert "1 candidates reproduce" in cli.notice(found) and "pass_all 2/2" in cli.printed(found, 1)
+    assert "1 candidates reproduce" in cli.notice(found) and "pass_all" in cli.printed(found, 1) and "2/2" in cli.printed(found, 1)
     before = engine.executions().count()
     engine.search(QUERY, "demo", "all", k=3)
     assert engine.executions().count() == before > 0  # nothing ran again
 
 
 def test_expansion_goes_on_only_without_a_pass(engine):
-    wrong = QUERY.replace("\n5\n", "\n77\n").replace("\n6\n", "\n88\n")
+    wrong = QUERY.replace("ababab", "ba").replace("xyzxyz", "zy")
     found = engine.search(wrong, "demo", "all", k=4)
     assert found["stats"]["expanded"] == 1 and found["stats"]["verified"] == 4 and found["stats"]["pass_all"] == 0
 
 
 def test_question_is_ranked_by_similarity(engine):
-    found = engine.search("print the input string s reversed", "demo", "v1", k=2)
-    assert found["hits"][0]["id"] == "rev" and found["stats"]["verified"] == 0 and found["hits"][0]["verification"] is None
+    found = engine.search("sorted rows of the file, print len", "demo", "v1", k=2)
+    assert found["hits"][0]["id"] == "rows" and found["stats"]["verified"] == 0 and found["hits"][0]["verification"] is None
 
 
 def test_store_history(engine, spark):
     store = engine.store("demo")
     assert store.versions() == ["v1", "v2", "v3"] and store.resolve("HEAD") == "v3" and store.latest() == "v3"
-    rows = [(r.version, r.changed, r.reverted_to, r.text) for r in store.lineage("sum", texts=True).collect()]
+    rows = [(r.version, r.changed, r.reverted_to, r.text) for r in store.lineage("twice", texts=True).collect()]
     assert rows == [("v1", True, None, RIGHT), ("v2", True, None, ALIKE), ("v3", True, 1, RIGHT)]
-    assert [r.changed for r in store.lineage("rev").collect()] == [True, True, False]
+    assert [r.changed for r in store.lineage("rows").collect()] == [True, True, False]
     places = store.occurrences().collect()
     assert len({r.sha for r in places}) == 4 and sorted(r.n for r in places) == [1, 1, 2, 2, 2, 2] and all(r.n == sum(q.sha == r.sha for q in places) for r in places)
     for bad in ("all", "latest", "-x", "x" * 65):
@@ -102,13 +102,13 @@ def test_encoder_counts_and_roles(spark):
 
 
 def test_service(engine):
-    app = App(engine, [{"id": "q1", "text": QUERY, "gold": "sum", "title": "t", "evolving": True}])
+    app = App(engine, [{"id": "q1", "text": QUERY, "gold": "twice", "title": "t", "evolving": True}])
     info = app.handle("GET", "/api/info")
     assert [v["name"] for v in info["stores"]["demo"]] == ["v1", "v2", "v3"] and info["stores"]["demo"][1]["snippets"] == 2
-    assert app.handle("GET", "/api/samples")[0]["gold"] == "sum" and app.handle("GET", "/api/sample/q1")["text"] == QUERY
+    assert app.handle("GET", "/api/samples")[0]["gold"] == "twice" and app.handle("GET", "/api/sample/q1")["text"] == QUERY
     out = app.handle("POST", "/api/search", json.dumps({"query": QUERY, "store": "demo", "k": 500}).encode())
-    assert out["gold"] == "sum" and out["gold_sha"] == out["hits"][0]["sha"] and len(out["hits"]) <= 50
-    assert [h["changed"] for h in app.handle("GET", "/api/lineage?store=demo&uid=sum")] == [True, True, True]
+    assert out["gold"] == "twice" and out["gold_sha"] == out["hits"][0]["sha"] and len(out["hits"]) <= 50
+    assert [h["changed"] for h in app.handle("GET", "/api/lineage?store=demo&uid=twice")] == [True, True, True]
     for method, path, body, status in (("GET", "/api/sample/zz", b"", 404), ("POST", "/api/search", b"{}", 422), ("POST", "/api/search", json.dumps({"query": "x", "store": "demo", "version": "v9"}).encode(), 400), ("GET", "/x", b"", 404)):
         with pytest.raises(Problem) as e:
             app.handle(method, path, body)
@@ -121,7 +121,7 @@ def test_command_line(engine, spark, tmp_path, capsys):
     (tmp_path / "s.jsonl").write_text('{"id": "sum", "text": "print(2)"}\n\n{"_id": "z", "code": "print(3)"}\nbroken\n{"id": "z", "text": "print(4)"}\n')
     home = ["--home", engine.home]
     out = cli.main([*home, "search", f"@{tmp_path / 'q.txt'}", "--store", "demo", "--version", "v1", "--json"], spark)
-    assert json.loads(out)["hits"][0]["id"] == "sum"
+    assert json.loads(out)["hits"][0]["id"] == "twice"
     info = json.loads(cli.main([*home, "add-version", "line", "v1", str(tmp_path / "s.jsonl")], spark))
     assert info["diff"]["added"] == 2
     assert "v2" in cli.main([*home, "versions", "demo"], spark)
