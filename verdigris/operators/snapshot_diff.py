@@ -64,12 +64,16 @@ def snapshot_rows(manifests: DataFrame, store_versions: DataFrame, absent: bool
     Of several rows of one path the one delivered last counts (at equal times the largest sha, a row without sha
     coming first); if that has no sha the path is absent.  Rows without a uid, or whose path is empty, are no path.
     """
+    return _rows_in_order(manifests, snapshots(manifests, store_versions), absent)
+
+
+def _rows_in_order(manifests: DataFrame, order: DataFrame, absent: bool) -> DataFrame:
     # paths are spelt in few ways: the expensive spelling rules see each distinct row once, before the shuffle
     named = manifests.select("store", "version", canonical_path(F.col("uid")).alias("path"), canonical_hex(F.col("sha")).alias("sha"), "delivered_at").where("path <> ''")
     last = named.groupBy("store", "version", "path").agg(F.max(F.struct("delivered_at", "sha")).alias("last"))
     kept = last.select("store", "version", "path", F.col("last.sha").alias("sha"))
     kept = kept if absent else kept.where("sha IS NOT NULL")
-    return kept.join(snapshots(manifests, store_versions), ["store", "version"]).withColumn("h", F.xxhash64("path"))
+    return kept.join(order, ["store", "version"]).withColumn("h", F.xxhash64("path"))
 
 
 def _digest(*parts: Column) -> list[Column]:
@@ -122,8 +126,16 @@ def snapshot_changes(manifests: DataFrame, store_versions: DataFrame) -> DataFra
     ``change`` is added, removed or modified; the first snapshot of a store gives no rows.  A snapshot all of whose
     paths are absent still counts: everything of the one before is removed.  Extra columns are ignored.
     """
-    rows = materialise(snapshot_rows(manifests, store_versions), "snapshot-rows")
+    return _changes(*_written(manifests, store_versions))
+
+
+def _written(manifests: DataFrame, store_versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of all snapshots and the order of the snapshots, each made once."""
     order = materialise(snapshots(manifests, store_versions), "snapshot-order")
+    return materialise(_rows_in_order(manifests, order, False), "snapshot-rows"), order
+
+
+def _changes(rows: DataFrame, order: DataFrame) -> DataFrame:
     levels = _levels(rows)
     leaves = materialise(differing_leaves(tree(rows, levels), order.where("snap > 1")), "merkle-differing")
     keyed = rows.select("store", "snap", "path", "sha", _node(levels, F.col("h")).alias("node"))
@@ -137,9 +149,9 @@ def snapshot_changes(manifests: DataFrame, store_versions: DataFrame) -> DataFra
 
 def snapshot_counts(manifests: DataFrame, store_versions: DataFrame) -> DataFrame:
     """(store, version, added, removed, modified, unchanged) of each snapshot but a store's first."""
-    changes = snapshot_changes(manifests, store_versions)
-    kinds = changes.groupBy("store", "version").agg(*[F.count_if(F.col("change") == k).alias(k) for k in ("added", "removed", "modified")])
-    sizes = snapshot_rows(manifests, store_versions).groupBy("store", "version").agg(F.count("*").alias("n_rows"))
+    rows, order = _written(manifests, store_versions)
+    kinds = _changes(rows, order).groupBy("store", "version").agg(*[F.count_if(F.col("change") == k).alias(k) for k in ("added", "removed", "modified")])
+    sizes = rows.groupBy("store", "version").agg(F.count("*").alias("n_rows"))
     zero = {k: 0 for k in ("added", "removed", "modified", "n_rows")}
-    out = snapshots(manifests, store_versions).where("snap > 1").join(kinds, ["store", "version"], "left").join(sizes, ["store", "version"], "left").fillna(zero)
+    out = order.where("snap > 1").join(kinds, ["store", "version"], "left").join(sizes, ["store", "version"], "left").fillna(zero)
     return out.select("store", "version", "added", "removed", "modified", (F.col("n_rows") - F.col("added") - F.col("modified")).alias("unchanged"))

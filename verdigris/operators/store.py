@@ -30,7 +30,8 @@ def table_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 class Store:
     """One named store below ``root``; reading never creates anything.
 
-    Versions are kept by the driver's small table ``versions``; contents and manifests are only touched by jobs.
+    The row in ``versions`` is written last and commits a version: contents and manifests without one are not seen, and
+    adding the version again writes its manifest anew.  Two writers may both add a content; readers take one of them.
     """
 
     spark: SparkSession
@@ -134,9 +135,10 @@ class Store:
     def occurrences(self) -> DataFrame:
         return V.occurrences(self.rows())
 
-    def lineage(self, uid: str, texts: bool = False) -> DataFrame:
-        """The history of one path, oldest first, perhaps with the texts."""
-        out = V.lineage(self.rows().where(F.col("uid") == uid), self.snaps()).join(self.snaps(), ["store", "snap"])
+    def lineage(self, uid: str | None, texts: bool = False) -> DataFrame:
+        """The history of one path, or of all, oldest first, perhaps with the texts."""
+        rows = self.rows() if uid is None else self.rows().where(F.col("uid") == uid)
+        out = V.lineage(rows, self.snaps()).join(self.snaps(), ["store", "snap"])
         if texts:
             out = V.with_texts(out, self.blobs())
         return out.orderBy("snap")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from verdigris.runtime import broadcast_if_small
+
 CHANGES = ("added", "removed", "modified", "unchanged")
 
 
@@ -37,21 +39,35 @@ def apply_changes(base: DataFrame, changes: DataFrame, *by: str) -> DataFrame:
     return base.select(*keys, "sha").join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(live)
 
 
-def lineage(rows: DataFrame, versions: DataFrame) -> DataFrame:
+def lineage(rows: DataFrame, versions: DataFrame, only_changes: bool = False) -> DataFrame:
     """(store, uid, snap, sha, changed, reverted_to) for every path in every version of its store.
 
     ``rows`` is (store, snap, uid, sha), ``versions`` (store, snap).  ``changed`` compares with the version before, of
     which the first has none; ``reverted_to`` is the first version with the same content, where it was there before
-    the change.  A path that a version lacks has a null sha.
+    the change.  A path that a version lacks has a null sha.  With ``only_changes`` just the rows that changed.
+
+    Every row knows the row of its path before and after it, so absences are told from the gaps between them; paths
+    and versions are never crossed.
     """
-    paths = rows.select("store", "uid").distinct()
-    grid = paths.join(versions.select("store", "snap"), "store").join(rows.select("store", "uid", "snap", "sha"), ["store", "uid", "snap"], "left")
+    last = broadcast_if_small(versions.groupBy("store").agg(F.max("snap").alias("last")))
     path = W.partitionBy("store", "uid").orderBy("snap")
-    first = F.min("snap").over(W.partitionBy("store", "uid", "sha"))
-    changed = ~F.col("sha").eqNullSafe(F.lag("sha").over(path))
-    full = grid.withColumn("changed", changed).withColumn("first", first)
-    back = F.when(F.col("changed") & F.col("sha").isNotNull() & (F.col("first") < F.col("snap")), F.col("first"))
-    return full.select("store", "uid", "snap", "sha", "changed", back.alias("reverted_to"))
+    known = rows.select("store", "uid", "snap", "sha").withColumns({
+        "before": F.lag("snap").over(path), "old": F.lag("sha").over(path), "after": F.lead("snap").over(path), "first": F.min("snap").over(W.partitionBy("store", "uid", "sha")),
+    }).join(last, "store")
+    same = (F.col("before") == F.col("snap") - 1) & (F.col("old") == F.col("sha"))
+    changed = ~F.coalesce(same, F.lit(False))
+    own = F.struct(F.col("snap"), F.col("sha"), changed.alias("changed"), F.when(changed & (F.col("first") < F.col("snap")), F.col("first")).alias("reverted_to"))
+    absent = lambda snap, first: F.struct(snap.alias("snap"), F.lit(None).cast("string").alias("sha"), first.alias("changed"), F.lit(None).cast(rows.schema["snap"].dataType).alias("reverted_to"))
+    until = F.coalesce(F.col("after") - 1, F.col("last"))
+    none = F.array().cast(f"array<{rows.schema['snap'].dataType.simpleString()}>")
+    if only_changes:
+        gone = F.when(F.col("snap") + 1 <= until, F.array(F.col("snap") + 1)).otherwise(none)
+        full = known.select("store", "uid", F.explode(F.concat(F.array(own), F.transform(gone, lambda s: absent(s, F.lit(True))))).alias("x"))
+        return full.select("store", "uid", "x.*").where("changed")
+    gone = F.when(F.col("snap") + 1 <= until, F.sequence(F.col("snap") + 1, until)).otherwise(none)
+    ahead = F.when(F.col("before").isNull() & (F.col("snap") > 1), F.sequence(F.lit(1).cast(rows.schema["snap"].dataType), F.col("snap") - 1)).otherwise(none)
+    everything = F.concat(F.array(own), F.transform(gone, lambda s: absent(s, s == F.col("snap") + 1)), F.transform(ahead, lambda s: absent(s, F.lit(False))))
+    return known.select("store", "uid", F.explode(everything).alias("x")).select("store", "uid", "x.*")
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
@@ -91,7 +107,10 @@ def distinct_blobs(texts: DataFrame) -> DataFrame:
 
 
 def with_texts(rows: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Rows joined with the texts of their sha; a row whose content is missing raises when it is read."""
-    joined = rows.join(blobs.select("sha", "text"), "sha", "left")
+    """Rows joined with the texts of their sha; a row whose content is missing raises when it is read.
+
+    Two writers may both have added a content; one of equal ones is taken.
+    """
+    joined = rows.join(blobs.select("sha", "text").dropDuplicates(["sha"]), "sha", "left")
     missing = F.concat(F.lit("no content for sha "), F.col("sha"))
     return joined.withColumn("text", F.when(F.col("text").isNull() & F.col("sha").isNotNull(), F.raise_error(missing).cast("string")).otherwise(F.col("text")))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from verdigris import schemas
 from verdigris.config import Settings
 from verdigris.functions.evidence import recency
-from verdigris.operators.encoding import QUERY_INSTRUCTION, Encoder, HashingEncoder, encode_missing, missing, vector_key
+from verdigris.operators.encoding import QUERY_INSTRUCTION, Encoder, HashingEncoder, encode_missing, missing, query_prefix, vector_key
 from verdigris.operators.store import Store, stores, table_or_empty
-from verdigris.plans.search import Result, search
+from verdigris.plans.search import Result, search, shown
 from verdigris.runtime import materialise
 
 
@@ -75,6 +75,9 @@ class Engine:
         view = self.store(store).view(version)
         bonus = recency(F.col("latest_index"), F.col("n_versions")) if version == "all" else None
         found = search(queries, view, self.encoder, self.settings, k, verify and self.verify, self.vectors(), self.executions(), bonus, QUERY_INSTRUCTION)
+        if found.queries_cached == 0:
+            asked = queries.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", vector_key(F.col("text"), self.encoder, "query", QUERY_INSTRUCTION))
+            self._add(encode_missing(asked, self.encoder, self.vectors(), query_prefix(QUERY_INSTRUCTION)), "vectors")
         if found.executions is not None:
             self._add(found.executions, "executions")
         return found
@@ -85,14 +88,28 @@ class Engine:
         queries = self.spark.createDataFrame([("q", query)], "qid string, text string")
         found = self.search_many(queries, store, version, k, verify)
         view = self.store(store).view(version)
-        hits = found.hits.drop("sha", "uid", "versions", "latest_index", "n_versions").join(view, "id").orderBy("rank").collect()  # k rows
+        hits = shown(found.hits.drop("sha", "uid", "versions", "latest_index", "n_versions")).join(view, "id").orderBy("rank").collect()  # k rows
         profile = found.profiles.first().asDict(recursive=True)
-        shown = []
+        answers = []
         for h in hits:
             r = h.asDict(recursive=True)
-            check = None
-            if r.get("tier"):
-                check = {"tier": r["tier"], "passed": r["passed"], "total": r["total"], "variant": r["variant"], "seconds": round(r["seconds"], 4), "cases": r["labelled"]}
-            shown.append({"rank": r["rank"], "id": r["id"], "sha": r["sha"], "dense": round(r["dense"], 5), "dense_rank": r["dense_rank"], "score": round(r["score"], 4), "verification": check, "meta": {"uid": r["uid"], "versions": r["versions"]}, "text": r["text"]})
-        stats = found.stats().first().asDict() | {"candidates": view.count(), "view": f"{store}@{version}"}
-        return {"query": query, "profile": profile, "hits": shown, "stats": stats, "timings_ms": {"total": round((time.perf_counter() - began) * 1e3, 1)}}
+            check = r["verification"] and r["verification"] | {"cases": r["labelled"]}
+            answers.append({k: r[k] for k in ("rank", "id", "sha", "dense", "dense_rank", "score")} | {"verification": check, "meta": {"uid": r["uid"], "versions": r["versions"]}, "text": r["text"]})
+        stats = found.stats().first().asDict() | found.counters() | {"candidates": view.count(), "view": f"{store}@{version}", "query_embedding_cached": found.queries_cached > 0}
+        took = {k: round(1e3 * s, 1) for k, s in found.timings_s.items()} | {"total": round((time.perf_counter() - began) * 1e3, 1)}
+        return {"query": query, "profile": profile, "hits": answers, "stats": stats, "timings_ms": took}
+
+    def warm_up(self) -> None:
+        """One search of every store, so that plans, workers and their children are there for the first request."""
+        for name in self.stores():
+            self.search("warm up", name, "latest", 1)
+
+    def close(self) -> None:
+        """Forget cached plans and tables; the stores stay.  Children end with their Python workers."""
+        self.spark.catalog.clearCache()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()

@@ -15,8 +15,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it is known to hold at most this many rows.
+#: A side is broadcast only when it is known to hold at most this many rows, and wide rows only up to so many bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 128 << 20
 
 
 def build_session(app: str = "verdigris", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,10 +51,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset and all run on one machine."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="verdigris-"))

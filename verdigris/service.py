@@ -33,6 +33,19 @@ def checked(body: dict) -> dict:
     return out | {"query": body["query"], "k": max(1, min(out["k"], MOST_HITS))}
 
 
+def write_samples(rows, path: str) -> str:
+    """Samples as one JSON file on this machine; they are what people choose from by hand, so few."""
+    out = json.dumps([r.asDict() for r in rows.toLocalIterator()], ensure_ascii=False, indent=1)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(out)
+    return out
+
+
+def load_samples(path: str) -> list[dict]:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 class App:
     """Requests as plain values, so tests need no socket.  ``samples`` are dicts with id, text, gold, evolving, title."""
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from urllib.parse import unquote
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +20,14 @@ def decoded(content: pd.Series) -> pd.Series:
 def from_directory(spark: SparkSession, root: str, extension: str = ".py") -> DataFrame:
     """(uid, text) of the files below ``root`` with the extension; uid is the path from there, with forward slashes.
 
-    Names are filtered before contents are decoded.  A folder without such files gives no rows.
+    ``root`` is a folder of any file system that Spark knows.  Names are filtered before contents are decoded.  A
+    folder without such files gives no rows.
     """
-    base = os.path.abspath(root.removeprefix("file://")).rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{extension}").load(f"file://{base}")
-    # the listing has URIs; their escapes are undone in one cheap step
-    relative = F.udf(lambda p: unquote(p.removeprefix("file:").lstrip("/"))[len(base.lstrip("/")) + 1 :], "string")(F.col("path"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{extension}").load(base)
     folders = F.slice(F.split("uid", "/"), F.lit(1), F.greatest(F.size(F.split("uid", "/")) - 1, F.lit(0)))
-    kept = files.select(relative.alias("uid"), "content").where(~F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED)))
+    kept = files.select(F.substr("path", F.lit(len(base) + 2)).alias("uid"), "content").where(~F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED)))
     return kept.select("uid", decoded("content").alias("text"))
 
 
@@ -49,8 +46,8 @@ def _records(rows: DataFrame) -> DataFrame:
 
 def from_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """(uid, text) from lines of JSON with ``id`` or ``_id`` and ``text`` or ``code``; blank and broken lines are left out."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return _records(lines.select(F.from_json("value", _RECORD).alias("r"), F.monotonically_increasing_id().alias("at")))
+    lines = spark.read.text(path).where(F.trim("value") != "")  # of several files the later path counts
+    return _records(lines.select(F.from_json("value", _RECORD).alias("r"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("at")))
 
 
 def from_json(spark: SparkSession, path: str) -> DataFrame:

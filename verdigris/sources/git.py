@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import subprocess
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,12 +28,22 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         listing = _git(self.repo, "ls-tree", "-r", "-z", "--name-only", "--full-tree" if self.folder == "." else "--full-name", self.ref, *([] if self.folder == "." else ["--", self.folder]))
-        names = [n for n in listing.decode("utf-8", "replace").split("\0") if n.endswith(self.extension)]
+        names = [n for n in listing.decode("utf-8", "replace").split("\0") if n.endswith(self.extension) and "\n" not in n]
         return [_Slice(names[i : i + self.size]) for i in range(0, len(names), self.size)]
 
     def read(self, part):
-        for name in part.names:
-            yield name, _git(self.repo, "show", f"{self.ref}:{name}").decode("utf-8", "replace")
+        asked = "".join(f"{self.ref}:{name}\n" for name in part.names).encode()
+        with tempfile.TemporaryFile() as names:  # one process a slice; its input never waits for its output
+            names.write(asked)
+            names.seek(0)
+            with subprocess.Popen(["git", "-C", self.repo, "cat-file", "--batch"], stdin=names, stdout=subprocess.PIPE) as git:
+                for name in part.names:
+                    head = git.stdout.readline().split()
+                    if len(head) != 3:
+                        raise FileNotFoundError(f"{self.ref}:{name}")
+                    text = git.stdout.read(int(head[2]))
+                    git.stdout.read(1)
+                    yield name, text.decode("utf-8", "replace")
 
 
 class GitRevision(DataSource):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,7 @@ def load_source(spark: SparkSession, spec: str, chunk: str = "file") -> DataFram
         rows = spark.read.parquet(spec[6:])
         key = "uid" if "uid" in rows.columns else "doc_id"
         return rows.selectExpr(f"cast({key} AS string) AS uid", "text").where("uid IS NOT NULL")
-    if os.path.isdir(spec):
+    if _is_folder(spark, spec):
         return chunked(from_directory(spark, spec), chunk)
     if spec.endswith(".jsonl"):
         return from_jsonl(spark, spec)
@@ -30,6 +29,12 @@ def load_source(spark: SparkSession, spec: str, chunk: str = "file") -> DataFram
     raise ValueError(f"unrecognised source {spec!r}")
 
 
+def _is_folder(spark: SparkSession, spec: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spec)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(path) and files.getFileStatus(path).isDirectory()
+
+
 def query_text(argument: str) -> str:
     """The query itself, the content of ``@file``, or standard input for ``-``."""
     if argument == "-":
