@@ -36,7 +36,7 @@ def rows_of(groups):
     return [(g, f"h{g}-{i:03}", f"d{i:03}", *v) for g, rows in groups.items() for i, v in enumerate(rows)]
 
 
-def check(spark, groups, hot_rows, tolerance=R.TOLERANCE):
+def check(spark, groups, hot_rows, tolerance=R.TOLERANCE, apart=1e-7):
     df = spark.createDataFrame(rows_of(groups), ITEMS).withColumn("p", F.lit("clash")).withColumn("walk_rank", F.lit(0)).repartition(3)
     got = {}
     for r in R.rank_walk(df, hot_rows, tolerance).collect():
@@ -45,7 +45,7 @@ def check(spark, groups, hot_rows, tolerance=R.TOLERANCE):
     for g, rows in groups.items():
         pi, wins = brute(rows)
         mine = sorted(got[g], key=lambda r: r.hit_id)
-        assert np.allclose([r.stationary for r in mine], pi, atol=1e-7)
+        assert np.allclose([r.stationary for r in mine], pi, atol=apart)
         assert {i for i, r in enumerate(mine) if r.pair_winner} == wins
         assert sorted(r.walk_rank for r in mine) == list(range(1, len(rows) + 1))
         order = sorted(mine, key=lambda r: (-r.stationary, r.id))
@@ -60,7 +60,7 @@ def test_hot_groups_take_the_distributed_walk(spark):
     groups = made(2, [3, 25])
     # one item that wins over all others, among many ties
     groups[1][4] = (9e9, 9e9, 2.0)
-    check(spark, groups, 10, 1e-6)
+    check(spark, groups, 10, 1e-3, 1e-4)
 
 
 def test_winners_come_through_the_walk(monkeypatch):
