@@ -129,6 +129,81 @@ def test_command_line(engine, spark, tmp_path, capsys):
     capsys.readouterr()
 
 
+def test_diagnostics_and_files(engine, spark, tmp_path):
+    queries = spark.createDataFrame([("q", QUERY), ("plain", "rows of a file")], "qid string, text string")
+    engine.search(QUERY, "demo", "all", k=3)
+    found = engine.search_many(queries, "demo", "all", k=3)
+    assert set(found.timings_s) == {"profile", "embed_query", "embed_items", "dense", "verify", "fuse", "total"} and found.dense_top.count() >= found.hits.count()
+    assert found.counters() == {"verified": 2, "executed": 0, "cache_hits": 2} and {r.kind: r.n_queries for r in found.kinds().collect()}["task_with_examples"] == 1
+    scores = found.by_query()
+    assert set(scores) == {"q", "plain"} and max(scores["q"], key=scores["q"].get) == found.hits.where("qid = 'q' AND rank = 1").first().id
+    found.write_rankings(f"file://{tmp_path}/ranks")
+    rows = spark.read.option("header", True).csv(f"file://{tmp_path}/ranks").collect()
+    assert len(rows) == found.hits.count() and set(rows[0].asDict()) == {"query_id", "rank", "doc_id", "score", "verification"}
+    one = engine.search(QUERY, "demo", "all", k=1)
+    assert one["stats"]["query_embedding_cached"] and one["stats"]["executed"] == 0 and one["timings_ms"]["total"] >= one["timings_ms"]["dense"]
+    assert engine.search("never asked before", "demo", "v1", k=1)["stats"]["query_embedding_cached"] is False
+    with engine as e:
+        e.warm_up()
+
+
+def test_samples_file(spark, tmp_path):
+    from verdigris.service import load_samples
+
+    spark.createDataFrame([("q1", QUERY), ("q2", "x" * 200 + "\nmore"), ("q3", None), ("q4", "nobody judged it")], "qid string, text string").write.parquet(f"file://{tmp_path}/q")
+    spark.createDataFrame([("q1", "a", 1), ("q1", "b", 2), ("q2", "c", 1), ("q4", "d", 0)], "qid string, doc_id string, rel int").write.parquet(f"file://{tmp_path}/r")
+    cli.main(["export-samples", f"{tmp_path}/q", f"{tmp_path}/r", f"{tmp_path}/s.json"], spark)
+    got = {s["id"]: s for s in load_samples(f"{tmp_path}/s.json")}
+    assert set(got) == {"q1", "q2"} and got["q1"]["gold"] == "b" and got["q1"]["evolving"] and not got["q2"]["evolving"] and len(got["q2"]["title"]) == 90
+
+
+def test_encoder_from_a_folder(spark, tmp_path):
+    import hashlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    from verdigris.operators.encoders import FolderEncoder
+
+    t = Tokenizer(WordLevel({"[UNK]": 0, "a": 1, "b": 2}, unk_token="[UNK]"))
+    t.pre_tokenizer = Whitespace()
+    t.save(f"{tmp_path}/tokenizer.json")
+    np.save(tmp_path / "vectors.npy", np.array([[0, 0, 0], [3, 0, 0], [0, 4, 0]], np.float32))
+    revision = hashlib.sha256((tmp_path / "vectors.npy").read_bytes()).hexdigest()[:10]
+    encoder = FolderEncoder(str(tmp_path), revision, max_length=2)
+    rows = spark.createDataFrame([("x", "a b a a"), ("y", "a"), ("z", ""), ("n", None), ("u", "what")], "id string, text string")
+    got = {r.id: r.embedding for r in encode(rows, encoder).collect()}
+    assert got["n"] is None and got["y"] == [1, 0, 0] and got["z"] == got["u"] == [0, 0, 0]
+    assert np.allclose(got["x"], [0.6, 0.8, 0])  # two tokens are read
+    with pytest.raises(ValueError):
+        FolderEncoder(str(tmp_path), "0000").encode(["a"])
+
+
+def test_studies(engine, spark, tmp_path):
+    from verdigris.operators.encoding import HashingEncoder
+    from verdigris.plans import studies
+
+    texts = [("p1", RIGHT), ("p2", ALIKE), ("p3", OTHER), ("p4", "not python ("), ("p5", None)]
+    docs = spark.createDataFrame(texts, "uid string, text string")
+    queries, qrels = spark.createDataFrame([("q1", QUERY)], "qid string, text string"), spark.createDataFrame([("q1", "p1", 1)], "qid string, doc_id string, rel int")
+    how = Settings(top_verify=2, expand=2, case_timeout=1.0)
+    lines = {(r.uid, r.version): r for r in studies.evolved_versions(docs).collect()}
+    assert ("p4", "v1") not in lines and lines["p1", "v1"].text == RIGHT and lines["p1", "v2"].role == "regression" and len({lines["p1", v].text for v in ("v1", "v2", "v3")}) == 3
+    modes = {r["mode"]: r for r in studies.evolution_study(queries, docs, qrels, HashingEncoder(), how).collect()}
+    assert modes["expanded"].correct_at_1 == 1.0 and modes["expanded"].regression_above == 0.0 and modes["dense"].n_queries == 1
+    table, results = studies.ablation(queries, docs.where("text IS NOT NULL").selectExpr("uid AS id", "sha1(text) AS sha", "text"), qrels, HashingEncoder(), how)
+    by = {r["mode"]: r for r in table.collect()}
+    assert by["dense"].executed == 0 and by["verified"].executed == 2 and by["expanded"].mrr == 1.0 and studies.gold_movement(results, qrels).first().first_after == 1
+    rates = {r.gold: r for r in studies.feasibility_study(queries, docs.withColumnRenamed("uid", "id"), qrels, how).collect()}
+    assert rates[True].pass_all == 1 and rates[True].mean_examples == 2.0
+    store = engine.store("shown")
+    studies.demo_store(store, docs, spark.createDataFrame([("p1",)], "uid string"), deleted=1)
+    assert store.versions() == ["v1", "v2", "v3"] and [r.reverted_to for r in store.lineage("p1").collect()] == [None, None, 1]
+    assert {r["diff"].modified for r in store.history().collect()} == {0, 1} and store.history().collect()[1]["diff"].removed == 1
+
+
 def test_parameters(tmp_path):
     (tmp_path / "p.json").write_text('{"temperature": 0.5, "other": 1}')
     assert load_params(str(tmp_path / "p.json"))["temperature"] == 0.5 and load_params(str(tmp_path / "p.json"))["llr"]["pass_all"] == 7.0

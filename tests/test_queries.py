@@ -26,7 +26,7 @@ def test_every_query_with_sql_is_registered():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql()) - {"verified_search"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_others_run(spark, name):
     assert catalogue.queries()[name](spark, str(TABLES)).count() > 0
 

@@ -25,10 +25,10 @@ def test_chunks():
 
 
 def test_directory(spark, tmp_path):
-    for name, data in {"a.py": b"x = 1\n", "sub dir/b.py": b"\xff = 2\r\n", ".hidden/c.py": b"", "__pycache__/d.py": b"", "e.txt": b""}.items():
+    for name, data in {"a.py": b"x = 1\n", "sub dir/b.py": b"\xff = 2\r\n", "p%41+q.py": b"y", ".hidden/c.py": b"", "__pycache__/d.py": b"", "e.txt": b""}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    assert rows(load_source(spark, str(tmp_path))) == {"a.py": "x = 1\n", "sub dir/b.py": "� = 2\n"}
+    assert rows(load_source(spark, str(tmp_path))) == {"a.py": "x = 1\n", "sub dir/b.py": "� = 2\n", "p%41+q.py": "y"}
     (tmp_path / "m.py").write_text(FILE)
     assert "m.py::C" in rows(load_source(spark, str(tmp_path), "function"))
 

@@ -1,8 +1,8 @@
 """Every registered query of the library proper; the optional training-data subpackage registers its own."""
 
-from verdigris.plans import change_queries, ranking_queries, text_queries, version_queries
+from verdigris.plans import change_queries, ranking_queries, store_queries, studies, text_queries, version_queries
 
-_MODULES = (ranking_queries, version_queries, text_queries, change_queries)
+_MODULES = (ranking_queries, version_queries, store_queries, studies, text_queries, change_queries)
 
 
 def queries():

@@ -6,11 +6,14 @@ from verdigris.functions import evidence as E
 from verdigris.functions.vectors import norm
 from verdigris.operators import metrics as M
 from verdigris.operators.hits import last_logged
+from verdigris.functions.udfs import same_output
 from verdigris.operators.topk import dense_topk, dense_topk_blocks as blocks, rank_within
+from verdigris.operators.verification import first_round, next_round
+from verdigris.plans.search import ranking_rows, shown
 from verdigris.runtime import read_table
 from verdigris.schemas import BROKEN, TIERS, UNRUNNABLE
 
-FIRST, MORE = 5, 5
+FIRST, MORE = 20, 30
 
 
 def _vectors(spark, sf_dir):
@@ -48,14 +51,13 @@ def tier_histogram(spark, sf_dir):
 
 
 def adaptive_expand(spark, sf_dir):
-    """Which searches would have gone on to a second round, and how many hits each round checks."""
+    """The candidates that each round of a staged verification would check, going by the logged tiers."""
     rows = _hits(spark, sf_dir, "search_id", "dense_rank", "verification.tier AS tier").where("search_id IS NOT NULL AND dense_rank IS NOT NULL")
-    per = rows.groupBy("search_id").agg(
-        F.coalesce(F.bool_or((F.col("dense_rank") <= FIRST) & (F.col("tier") == "pass_all")), F.lit(False)).alias("settled"),
-        F.count_if(F.col("dense_rank") <= FIRST).alias("first"),
-        F.count_if((F.col("dense_rank") > FIRST) & (F.col("dense_rank") <= FIRST + MORE)).alias("second"),
-    )
-    return per.select("search_id", "settled", (F.col("first") + F.when(F.col("settled"), 0).otherwise(F.col("second"))).alias("checked"))
+    ranked = rows.select(F.col("search_id").alias("qid"), F.col("hit_id").alias("id"), "dense_rank", "tier")
+    first = first_round(ranked, FIRST)
+    second = next_round(ranked, ranked.where(F.col("dense_rank") <= FIRST), FIRST, MORE)
+    both = first.withColumn("round", F.lit(1).cast("bigint")).unionByName(second.withColumn("round", F.lit(2).cast("bigint")))
+    return both.select(F.col("qid").alias("search_id"), F.col("id").alias("hit_id"), "round")
 
 
 def judge_tier(spark, sf_dir):
@@ -69,16 +71,11 @@ def judge_tier(spark, sf_dir):
     return per.select("user_id", "day", "passed", "total", tier.alias("tier"))
 
 
-def longest_case(spark, sf_dir):
-    rows = _hits(spark, sf_dir, "search_id", "verification.seconds AS seconds", "verification.variant AS variant").where("seconds IS NOT NULL")
-    return rows.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.max("seconds"), 6).alias("longest"))
-
-
 def output_match(spark, sf_dir):
     """Whether the shown text of a hit equals the document it names, as a judge compares outputs."""
-    shown = _hits(spark, sf_dir, "id", "text").where("text IS NOT NULL")
+    shown_texts = _hits(spark, sf_dir, "id", "text").where("text IS NOT NULL")
     docs = read_table(spark, sf_dir, "corpus").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("wanted"))
-    return shown.join(docs, "id").select("hit_id", E.outputs_match(F.col("text"), F.col("wanted")).alias("same"))
+    return shown_texts.join(docs, "id").select("hit_id", same_output("text", "wanted").alias("same"))
 
 
 def _ranked(spark, sf_dir):
@@ -125,17 +122,22 @@ def likelihood_ratios(spark, sf_dir):
     return M.likelihood_ratios(counts, TIERS)
 
 
+def _as_results(spark, sf_dir):
+    """Logged hits as a search returns them."""
+    rows = _hits(spark, sf_dir, "search_id AS qid", "id", "sha", "rank", "dense", "dense_rank", "score", "verification.tier AS tier", "verification.passed AS passed", "verification.total AS total", "verification.variant AS variant", "verification.seconds AS seconds")
+    return rows
+
+
 def response_rows(spark, sf_dir):
-    rows = _hits(spark, sf_dir, "search_id", "id", "rank", "dense", "score")
-    return rows.select("search_id", "hit_id", "id", F.round("dense", 5).alias("dense"), F.round("score", 4).alias("score"), F.greatest(F.lit(1), F.least(F.col("rank"), F.lit(50))).cast("bigint").alias("shown_k"))
+    rows = shown(_as_results(spark, sf_dir))
+    return rows.select("hit_id", "qid", "id", "sha", F.col("rank").cast("bigint").alias("rank"), "dense", "score", F.col("verification.tier").alias("tier"), F.col("verification.seconds").alias("seconds"), F.col("verification").isNotNull().alias("verified"))
 
 
 def ranking_file(spark, sf_dir):
-    rows = _hits(spark, sf_dir, "search_id", "id", "rank", "verification.tier AS tier").where("rank <= 10")
-    return rows.select(F.col("search_id").alias("query_id"), F.col("rank").cast("bigint").alias("rank"), F.col("id").alias("doc_id"), F.coalesce("tier", F.lit("")).alias("verification"))
+    return ranking_rows(_as_results(spark, sf_dir))
 
 
-QUERIES = {"dense_topk": _topk(dense_topk), "dense_topk_blocks": _topk(blocks)} | {f.__name__: f for f in (vector_norms, fused_rank, tier_histogram, adaptive_expand, judge_tier, longest_case, output_match, ndcg_mrr_recall, mean_metrics, movement, version_correct, feasibility, likelihood_ratios, response_rows, ranking_file)}
+QUERIES = {"dense_topk": _topk(dense_topk), "dense_topk_blocks": _topk(blocks)} | {f.__name__: f for f in (vector_norms, fused_rank, tier_histogram, adaptive_expand, judge_tier, output_match, ndcg_mrr_recall, mean_metrics, movement, version_correct, feasibility, likelihood_ratios, response_rows, ranking_file)}
 
 _TOPK = """
 WITH scored AS (SELECT q.vec_id AS qid, d.vec_id AS id, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS dense
@@ -162,12 +164,12 @@ SQL = {
     "vector_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS length FROM embeddings",
     "fused_rank": f"{_LAST}, f AS (SELECT search_id, hit_id, dense_rank, round(dense / 0.02::DOUBLE + {_EVIDENCE}, 6) AS fused FROM h WHERE dense IS NOT NULL AND search_id IS NOT NULL) SELECT search_id, hit_id, fused, row_number() OVER (PARTITION BY search_id ORDER BY fused DESC, dense_rank NULLS LAST, hit_id) AS fused_rank FROM f",
     "tier_histogram": f"{_LAST} SELECT view_name, {_TIER_COUNTS}, count(*) AS n FROM h WHERE tier IS NOT NULL GROUP BY view_name",
-    "adaptive_expand": f"{_LAST}, p AS (SELECT search_id, coalesce(bool_or(dense_rank <= {FIRST} AND tier = 'pass_all'), false) AS settled, count(*) FILTER (dense_rank <= {FIRST}) AS a, count(*) FILTER (dense_rank > {FIRST} AND dense_rank <= {FIRST + MORE}) AS b FROM h WHERE search_id IS NOT NULL AND dense_rank IS NOT NULL GROUP BY search_id) SELECT search_id, settled, a + CASE WHEN settled THEN 0 ELSE b END AS checked FROM p",
+    "adaptive_expand": f"""{_LAST}, r AS (SELECT search_id, hit_id, dense_rank, tier FROM h WHERE search_id IS NOT NULL AND dense_rank IS NOT NULL), done AS (SELECT search_id FROM r WHERE dense_rank <= {FIRST} AND tier = 'pass_all')
+SELECT search_id, hit_id, 1::BIGINT AS round FROM r WHERE dense_rank <= {FIRST} UNION ALL SELECT search_id, hit_id, 2 FROM r WHERE dense_rank > {FIRST} AND dense_rank <= {FIRST + MORE} AND search_id NOT IN (SELECT search_id FROM done)""",
     "judge_tier": """
 WITH c AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_type IN ('click', 'purchase') THEN 'ok' WHEN event_type = 'view' THEN 'import_error' WHEN event_type = 'signup' THEN 'blocked' ELSE 'runtime_error' END AS status, value FROM events),
 p AS (SELECT user_id, day, count(*) FILTER (status = 'ok' AND value > 20) AS passed, count(*) AS total, bool_and(status IN ('syntax_error', 'import_error', 'blocked')) AS dull, bool_or(status = 'ok') AS ran, bool_or(status = 'runtime_error') AS broke FROM c GROUP BY user_id, day)
 SELECT user_id, day, passed, total, CASE WHEN passed = total THEN 'pass_all' WHEN passed > 0 THEN 'pass_partial' WHEN dull THEN 'unverified' WHEN ran AND NOT broke THEN 'wrong_answer' ELSE 'error' END AS tier FROM p""",
-    "longest_case": f"{_LAST} SELECT verification.variant AS variant, count(*) AS n, round(max(verification.seconds), 6) AS longest FROM h WHERE verification.seconds IS NOT NULL GROUP BY 1",
     "output_match": f"""{_LAST}, t AS (SELECT hit_id, {_TOKENS.format("h.text")} AS a, {_TOKENS.format("c.text")} AS b FROM h JOIN corpus c ON h.id = c.doc_id WHERE h.text IS NOT NULL AND c.text IS NOT NULL)
 SELECT hit_id, len(a) = len(b) AND list_bool_and(list_concat([true], list_transform(list_zip(a, b), lambda p: lower(p[1]) = lower(p[2]) OR coalesce(abs(try_cast(p[1] AS DOUBLE) - try_cast(p[2] AS DOUBLE)) <= 1e-6 * greatest(1e0, abs(try_cast(p[2] AS DOUBLE))), false)))) AS same FROM t""",
     "ndcg_mrr_recall": f"{_PER_QUERY} SELECT qid, {', '.join(f'round({c}, 6) AS {c}' for c in _METRICS)} FROM m",
@@ -177,6 +179,6 @@ SELECT hit_id, len(a) = len(b) AND list_bool_and(list_concat([true], list_transf
     "feasibility": f"{_GOLD} SELECT gold, {_TIER_COUNTS}, round(avg((tier = 'pass_all')::INT), 4) AS pass_rate FROM g GROUP BY gold",
     "likelihood_ratios": f"""{_GOLD}, t(tier) AS (VALUES {", ".join(f"('{t}')" for t in TIERS)}), c AS (SELECT t.tier, count(*) FILTER (gold) AS pos, count(*) FILTER (NOT gold) AS neg FROM t LEFT JOIN g ON t.tier = g.tier GROUP BY t.tier)
 SELECT tier, CASE WHEN tier = 'unverified' THEN 0e0 ELSE round(ln(((pos + 1) / ((SELECT sum(pos) FROM c) + 5)) / ((neg + 1) / ((SELECT sum(neg) FROM c) + 5))), 4) END AS llr FROM c""",
-    "response_rows": f"{_LAST} SELECT search_id, hit_id, id, round(dense, 5) AS dense, round(score, 4) AS score, greatest(1, least(rank, 50))::BIGINT AS shown_k FROM h",
-    "ranking_file": f"{_LAST} SELECT search_id AS query_id, rank::BIGINT AS rank, id AS doc_id, coalesce(tier, '') AS verification FROM h WHERE rank <= 10",
+    "response_rows": f"{_LAST} SELECT hit_id, search_id AS qid, id, sha, rank::BIGINT AS rank, round(dense, 5) AS dense, round(score, 4) AS score, tier, CASE WHEN tier IS NOT NULL THEN round(verification.seconds, 4) END AS seconds, tier IS NOT NULL AS verified FROM h",
+    "ranking_file": f"{_LAST} SELECT search_id AS query_id, rank::BIGINT AS rank, id AS doc_id, round(score, 4) AS score, coalesce(tier, '') AS verification FROM h WHERE rank <= 10",
 }

@@ -1,5 +1,7 @@
 """Queries on statements and snippets: profiles, samples, chunks, evolution, encoding, and the whole search."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from verdigris.config import Settings
@@ -8,7 +10,8 @@ from verdigris.functions.udfs import extract_samples, mutate, refactor
 from verdigris.operators.encoding import HashingEncoder, vector_key
 from verdigris.plans.search import corpus_view, profiles, search
 from verdigris.runtime import read_table, spread
-from verdigris.sources.benchmark import judged_queries, numeric_suffix, seeded_order
+from verdigris.sources.benchmark import gold_of_texts, judged_queries, numeric_suffix, shard, subset
+from verdigris.sources.benchmark import title_line as title_of
 from verdigris.sources.chunks import chunked
 
 ENCODER = HashingEncoder()
@@ -36,8 +39,7 @@ def call_examples(spark, sf_dir):
 
 
 def title_line(spark, sf_dir):
-    first = F.substring(F.regexp_extract("text", r"\A\s*([^\n]*)", 1), 1, 90)
-    return _queries(spark, sf_dir).where("text IS NOT NULL").select("qid", first.alias("title"))
+    return _queries(spark, sf_dir).where("text IS NOT NULL").select("qid", title_of(F.col("text")).alias("title"))
 
 
 def semi_filter_queries(spark, sf_dir):
@@ -46,18 +48,19 @@ def semi_filter_queries(spark, sf_dir):
 
 def gold_lookup(spark, sf_dir):
     """Documents judged right for the exact text of a query."""
-    gold = read_table(spark, sf_dir, "qrels").where("rel > 0").select("qid", "doc_id").distinct()
-    return _queries(spark, sf_dir).where("text IS NOT NULL").join(gold, "qid").select(F.sha1("text").alias("text_sha"), "doc_id").distinct()
+    return gold_of_texts(_queries(spark, sf_dir), read_table(spark, sf_dir, "qrels"))
 
 
 def sampled_subset(spark, sf_dir):
-    """A sampling operator: fifty queries drawn by hash order."""
-    return _queries(spark, sf_dir).orderBy(*seeded_order(F.col("qid"), 7)).limit(50).select("qid")
+    """A sampling operator: fifty judged queries drawn by hash order, and three hundred documents with theirs among them."""
+    docs, picked, rel = subset(read_table(spark, sf_dir, "corpus").where("doc_id IS NOT NULL"), _queries(spark, sf_dir), read_table(spark, sf_dir, "qrels").where("doc_id IS NOT NULL"), 50, 300)
+    one = lambda what, rows, key: rows.select(F.lit(what).alias("what"), F.col(key).alias("key"))
+    return one("doc", docs, "doc_id").unionByName(one("query", picked, "qid")).unionByName(one("pair", rel.withColumn("k", F.concat_ws(" ", "qid", "doc_id")), "k"))
 
 
 def shard_counts(spark, sf_dir):
-    ids = _queries(spark, sf_dir).select(F.pmod(numeric_suffix(F.col("qid")), F.lit(8)).alias("shard"))
-    return ids.groupBy("shard").count().withColumnRenamed("count", "n")
+    parts = [shard(_queries(spark, sf_dir), "qid", 8, i).select(F.lit(i).cast("bigint").alias("shard"), "qid") for i in range(8)]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts).groupBy("shard").agg(F.count("*").alias("n"), F.min("qid").alias("least"))
 
 
 def external_rows(spark, sf_dir):
@@ -69,18 +72,6 @@ def vector_keys(spark, sf_dir):
     return _snippets(spark, sf_dir).select("id", vector_key(F.col("text"), ENCODER, "document").alias("key"))
 
 
-def encode_counts(spark, sf_dir):
-    """How many texts there are and how many must be encoded, given that equal ones share a vector."""
-    keyed = _snippets(spark, sf_dir).where("text IS NOT NULL").select(vector_key(F.col("text"), ENCODER, "document").alias("key"))
-    return keyed.agg(F.count("*").alias("n_texts"), F.count_distinct("key").alias("n_encoded"))
-
-
-def vector_lookup(spark, sf_dir):
-    """Items of the views by whether the cache has a vector under their content."""
-    cache = read_table(spark, sf_dir, "vector_cache").where("k IS NOT NULL AND v IS NOT NULL").select(F.col("k").alias("sha"), F.lit(True).alias("held")).distinct()
-    return read_table(spark, sf_dir, "candidate_view").select("view_name", "sha").join(cache, "sha", "left").groupBy("view_name").agg(F.count("*").alias("n"), F.count("held").alias("n_held"))
-
-
 def query_profiles(spark, sf_dir):
     return profiles(_queries(spark, sf_dir)).select("qid", "kind", "language", "platform", "n_examples", "n_function_examples", F.array_join("titles", "|").alias("titles"), "verifiable")
 
@@ -110,13 +101,27 @@ def mutants(spark, sf_dir):
     return rows.select("id", mutate("text", numeric_suffix(F.col("id"))).alias("m")).where("m.code IS NOT NULL").select("id", "m.code", "m.description")
 
 
+#: Executions of this session's registered searches by application and tables; as in the engine, no job is run twice.
+_executed: dict = {}
+
+
+def executions_so_far(spark, sf_dir):
+    return _executed.get((spark.sparkContext.applicationId, sf_dir))
+
+
+def remember_executions(spark, sf_dir, new):
+    known = executions_so_far(spark, sf_dir)
+    _executed[spark.sparkContext.applicationId, sf_dir] = new if known is None else known.unionByName(new)
+
+
 def verified_search(spark, sf_dir):
     """Every query against every snippet: profile, encode, best by similarity, run on the samples, fuse, rank."""
-    found = search(_queries(spark, sf_dir), corpus_view(_snippets(spark, sf_dir)), ENCODER, Settings(), k=10)
+    found = search(_queries(spark, sf_dir), corpus_view(_snippets(spark, sf_dir)), ENCODER, Settings(), k=10, executions=executions_so_far(spark, sf_dir))
+    remember_executions(spark, sf_dir, found.executions)
     return found.hits.select("qid", "id", "rank", "dense_rank", F.round("dense", 5).alias("dense"), F.round("score", 4).alias("score"), "tier", "passed", "total", "variant")
 
 
-QUERIES = {f.__name__: f for f in (script_language, section_headers, call_examples, title_line, semi_filter_queries, gold_lookup, sampled_subset, shard_counts, external_rows, vector_keys, encode_counts, vector_lookup, query_profiles, sample_tests, evolving_queries, function_chunks, refactored, mutants, verified_search)}
+QUERIES = {f.__name__: f for f in (script_language, section_headers, call_examples, title_line, semi_filter_queries, gold_lookup, sampled_subset, shard_counts, external_rows, vector_keys, query_profiles, sample_tests, evolving_queries, function_chunks, refactored, mutants, verified_search)}
 _Q = "WITH q AS (SELECT qid, max(text) AS text FROM queries GROUP BY qid)"
 _KEY = "sha1('hashing' || chr(0) || 'document' || chr(0) || '' || chr(0) || '1024' || chr(0) || text || chr(0))"
 SQL = {
@@ -126,10 +131,11 @@ SQL = {
     "title_line": _Q + r""" SELECT qid, substring(regexp_extract(text, '^\s*([^\n]*)', 1), 1, 90) AS title FROM q WHERE text IS NOT NULL""",
     "semi_filter_queries": _Q + " SELECT qid FROM q WHERE qid IN (SELECT qid FROM qrels WHERE qid IS NOT NULL)",
     "gold_lookup": _Q + " SELECT DISTINCT sha1(text) AS text_sha, doc_id FROM q JOIN qrels USING (qid) WHERE text IS NOT NULL AND rel > 0",
-    "sampled_subset": _Q + " SELECT qid FROM q ORDER BY sha1('7|' || qid), qid LIMIT 50",
-    "shard_counts": _Q + r" SELECT try_cast(regexp_extract(qid, '(\d+)$', 1) AS BIGINT) % 8 AS shard, count(*) AS n FROM q GROUP BY 1",
+    "sampled_subset": _Q
+    + """, j AS (SELECT qid FROM q WHERE qid IN (SELECT qid FROM qrels WHERE qid IS NOT NULL AND doc_id IS NOT NULL)), p AS (SELECT qid FROM j ORDER BY sha1('7|' || qid), qid LIMIT 50),
+r AS (SELECT DISTINCT qid, doc_id FROM qrels WHERE doc_id IS NOT NULL AND qid IN (SELECT qid FROM p)), d AS (SELECT doc_id FROM corpus WHERE doc_id IS NOT NULL ORDER BY doc_id NOT IN (SELECT doc_id FROM r), sha1('7|' || doc_id), doc_id LIMIT 300)
+SELECT 'doc' AS what, doc_id AS key FROM d UNION ALL SELECT 'query', qid FROM p UNION ALL SELECT 'pair', qid || ' ' || doc_id FROM r""",
+    "shard_counts": _Q + " SELECT ('0x' || left(md5(qid), 8))::BIGINT % 8 AS shard, count(*) AS n, min(qid) AS least FROM q WHERE qid IS NOT NULL GROUP BY 1",
     "external_rows": "SELECT doc_id AS id, sha1(CASE WHEN coalesce(origin, '') <> '' THEN concat_ws(chr(10), origin, text) ELSE text END) AS sha FROM corpus WHERE doc_id IS NOT NULL",
     "vector_keys": f"SELECT doc_id AS id, {_KEY} AS key FROM corpus WHERE doc_id IS NOT NULL",
-    "encode_counts": f"SELECT count(*) AS n_texts, count(DISTINCT {_KEY}) AS n_encoded FROM corpus WHERE doc_id IS NOT NULL AND text IS NOT NULL",
-    "vector_lookup": "SELECT view_name, count(*) AS n, count(held) AS n_held FROM candidate_view LEFT JOIN (SELECT DISTINCT k AS sha, true AS held FROM vector_cache WHERE k IS NOT NULL AND v IS NOT NULL) USING (sha) GROUP BY view_name",
 }

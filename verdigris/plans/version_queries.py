@@ -1,7 +1,6 @@
 """Queries on versions: contents, history, differences, change sets, lineage, views over all versions."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from verdigris.functions.evidence import recency
 from verdigris.operators import versions as V
@@ -23,21 +22,6 @@ def content_hash(spark, sf_dir):
     return read_table(spark, sf_dir, "corpus").select("doc_id", F.sha1("text").alias("sha"))
 
 
-def blob_dedup(spark, sf_dir):
-    texts = read_table(spark, sf_dir, "corpus").where("text IS NOT NULL").select("doc_id", F.sha1("text").alias("sha"))
-    return texts.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-
-
-def version_history(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "store_versions").groupBy("store", "version").agg(F.min("seq").cast("bigint").alias("seq"), F.max("parent").alias("parent"))
-    newest = F.row_number().over(W.partitionBy("store").orderBy(F.desc("seq"), "version"))
-    return rows.withColumn("newest", newest.cast("bigint")).withColumn("is_latest", F.col("newest") == 1)
-
-
-def store_listing(spark, sf_dir):
-    return read_table(spark, sf_dir, "store_versions").groupBy("store").agg(F.count_distinct("version").alias("n_versions"), F.max_by("version", F.struct("seq", "version")).alias("latest"))
-
-
 def diff_first_last(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     ends = _snaps(spark, sf_dir).groupBy("store").agg(F.max("snap").alias("last"))
@@ -47,22 +31,16 @@ def diff_first_last(spark, sf_dir):
 
 
 def changeset_apply(spark, sf_dir):
-    """The second snapshot of each store read as a change set on the first."""
-    rows = _rows(spark, sf_dir, absent=True).where("snap <= 2")
-    return V.apply_changes(rows.where("snap = 1 AND sha IS NOT NULL"), rows.where("snap = 2"), "store")
+    """Every snapshot read as a change set on the one before it."""
+    rows = _rows(spark, sf_dir, absent=True)
+    base = rows.where("sha IS NOT NULL").withColumn("snap", F.col("snap") + 1).join(_snaps(spark, sf_dir).select("store", "snap"), ["store", "snap"], "left_semi")
+    return V.apply_changes(base, rows.where("snap > 1"), "store", "snap")
 
 
 def lineage(spark, sf_dir):
     return V.lineage(_rows(spark, sf_dir), _snaps(spark, sf_dir))
 
 
-def lineage_texts(spark, sf_dir):
-    """Contents along the lineages that the corpus has a text for."""
-    texts = read_table(spark, sf_dir, "corpus").where("text IS NOT NULL").groupBy(F.sha1("text").alias("sha")).agg(F.max(F.char_length("text")).cast("bigint").alias("n_chars"))
-    rows = _rows(spark, sf_dir).withColumn("sha", F.lpad("sha", 40, "0"))
-    return rows.join(texts, "sha", "left").groupBy("store", "snap").agg(F.count("*").alias("n"), F.count("n_chars").alias("n_known"), F.sum("n_chars").alias("n_chars"))
-
-
 def occurrences(spark, sf_dir):
     return V.occurrences(_rows(spark, sf_dir))
 
@@ -77,15 +55,9 @@ def incremental_contents(spark, sf_dir):
     return V.new_contents(_rows(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (content_hash, blob_dedup, version_history, store_listing, diff_first_last, changeset_apply, lineage, lineage_texts, occurrences, all_versions_view, incremental_contents)}
+QUERIES = {f.__name__: f for f in (content_hash, diff_first_last, changeset_apply, lineage, occurrences, all_versions_view, incremental_contents)}
 SQL = {
     "content_hash": "SELECT doc_id, sha1(text) AS sha FROM corpus",
-    "blob_dedup": "SELECT sha1(text) AS sha, count(*) AS n, min(doc_id) AS first_id FROM corpus WHERE text IS NOT NULL GROUP BY sha1(text)",
-    "version_history": """
-SELECT *, newest = 1 AS is_latest FROM (
-  SELECT *, row_number() OVER (PARTITION BY store ORDER BY seq DESC, version) AS newest
-  FROM (SELECT store, version, min(seq)::BIGINT AS seq, max(parent) AS parent FROM store_versions GROUP BY store, version))""",
-    "store_listing": "SELECT store, count(DISTINCT version) AS n_versions, arg_max(version, {'a': seq, 'b': version}) AS latest FROM store_versions GROUP BY store",
     "diff_first_last": _STATES
     + """, ends AS (SELECT store, max(snap) AS last FROM snaps GROUP BY store),
   o AS (SELECT store, path, sha FROM states WHERE snap = 1), n AS (SELECT s.store, path, sha FROM states s JOIN ends e ON s.store = e.store AND s.snap = e.last)
@@ -93,16 +65,13 @@ SELECT coalesce(n.store, o.store) AS store, count(*) FILTER (o.sha IS NULL) AS a
   count(*) FILTER (o.sha <> n.sha) AS modified, count(*) FILTER (o.sha = n.sha) AS unchanged
 FROM o FULL JOIN n ON o.store = n.store AND o.path = n.path GROUP BY 1""",
     "changeset_apply": _STATES
-    + """, changes AS (SELECT store, path, sha FROM ranked JOIN snaps USING (store, version) WHERE rn = 1 AND snap = 2)
-SELECT store, path AS uid, sha FROM states s WHERE snap = 1 AND NOT EXISTS (SELECT 1 FROM changes c WHERE c.store = s.store AND c.path = s.path)
-UNION ALL SELECT store, path, sha FROM changes WHERE sha IS NOT NULL""",
+    + """, changes AS (SELECT store, snap, path, sha FROM ranked JOIN snaps USING (store, version) WHERE rn = 1 AND snap > 1)
+SELECT store, s.snap + 1 AS snap, path AS uid, sha FROM states s WHERE EXISTS (SELECT 1 FROM snaps n WHERE n.store = s.store AND n.snap = s.snap + 1) AND NOT EXISTS (SELECT 1 FROM changes c WHERE c.store = s.store AND c.snap = s.snap + 1 AND c.path = s.path)
+UNION ALL SELECT store, snap, path, sha FROM changes WHERE sha IS NOT NULL""",
     "lineage": _STATES
     + """, grid AS (SELECT p.store, p.path, s.snap, t.sha FROM (SELECT DISTINCT store, path FROM states) p JOIN snaps s USING (store) LEFT JOIN states t ON t.store = p.store AND t.path = p.path AND t.snap = s.snap),
   c AS (SELECT *, sha IS DISTINCT FROM lag(sha) OVER (PARTITION BY store, path ORDER BY snap) AS changed, min(snap) OVER (PARTITION BY store, path, sha) AS first FROM grid)
 SELECT store, path AS uid, snap, sha, changed, CASE WHEN changed AND sha IS NOT NULL AND first < snap THEN first END AS reverted_to FROM c""",
-    "lineage_texts": _STATES
-    + """, texts AS (SELECT sha1(text) AS sha, max(length(text))::BIGINT AS n_chars FROM corpus WHERE text IS NOT NULL GROUP BY 1)
-SELECT store, snap, count(*) AS n, count(n_chars) AS n_known, sum(n_chars)::BIGINT AS n_chars FROM (SELECT store, snap, lpad(sha, 40, '0') AS sha FROM states) LEFT JOIN texts USING (sha) GROUP BY store, snap""",
     "occurrences": _STATES + "SELECT store, sha, snap, path AS uid, count(*) OVER (PARTITION BY store, sha) AS n, min(snap) OVER (PARTITION BY store, sha) AS first FROM states",
     "all_versions_view": _STATES
     + """, once AS (SELECT store, sha, snap, min(path) AS uid FROM states GROUP BY ALL), total AS (SELECT store, count(*) AS n_versions FROM snaps GROUP BY store),
