@@ -36,9 +36,7 @@ PROBES = 48
 #: reranked if it may still reach the k-th best score that is sure.
 MARGIN = 0.06
 #: Queries scanned together.
-QUERY_BLOCK = 256
-#: A leaf that this part of a block of queries wants is scanned for all of them.
-WHOLE_BLOCK = 0.3
+QUERY_BLOCK = 512
 
 
 def float_vectors(df: DataFrame, key: str, embedding: str) -> DataFrame:
@@ -203,7 +201,6 @@ def _unit_rows(index, probes, salts, vid, x):
 def search_block(index, members: dict, q_vid: np.ndarray, q: np.ndarray, probes: list, k: int):
     """The ``k`` best other members of a unit for each query: row numbers of queries and members, and cosines."""
     table = Q.tables(q, index.books)
-    whole = Q.byte_tables(table)
     wanted: dict[int, list[int]] = {}
     opening: dict[int, list[int]] = {}
     for i, leaves in enumerate(probes):
@@ -219,9 +216,8 @@ def search_block(index, members: dict, q_vid: np.ndarray, q: np.ndarray, probes:
 
     def approx(leaf, who):
         low, high = members["places"][leaf]
-        codes = members["codes"][low:high]
-        near = Q.scan(whole, codes) if len(who) == len(q) else Q.scan(table[:, :, who], Q.unpack(codes))
-        return near.T * members["length"][low:high] + (q[who] @ index.centres[leaf])[:, None]
+        mine = table if len(who) == len(q) else table[:, :, who]
+        return Q.scan(mine, members["codes"][low:high]).T * members["length"][low:high] + (q[who] @ index.centres[leaf])[:, None]
 
     floor = np.full(len(q), -np.inf, np.float32)
     for leaf, who in opening.items():
@@ -231,9 +227,7 @@ def search_block(index, members: dict, q_vid: np.ndarray, q: np.ndarray, probes:
         floor[who] = np.partition(sure, sure.shape[1] - k, axis=1)[:, sure.shape[1] - k]
     found = []
     for leaf, who in wanted.items():
-        # whole blocks are looked up by bytes, which costs a third; the others' finds do no harm
-        who = np.arange(len(q)) if len(who) >= WHOLE_BLOCK * len(q) else np.asarray(who)
-        s = approx(leaf, who)
+        s, who = approx(leaf, who), np.asarray(who)
         low, high = members["places"][leaf]
         a, m = np.nonzero(s + MARGIN * members["length"][low:high] >= floor[who][:, None])
         found.append((who[a], m + low))
@@ -260,7 +254,7 @@ def _members(parts: list[pa.RecordBatch]) -> dict:
     starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
     ends = np.append(starts[1:], len(leaf))
     code = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(len(leaf), -1)[order]
-    return {"vid": t["vid"].to_numpy()[order], "x": _matrix(t["direction"])[order], "length": t["length"].to_numpy()[order], "codes": code, "places": {int(leaf[a]): (int(a), int(b)) for a, b in zip(starts, ends)}}
+    return {"vid": t["vid"].to_numpy()[order], "x": _matrix(t["direction"])[order], "length": t["length"].to_numpy()[order], "codes": Q.unpack(code), "places": {int(leaf[a]): (int(a), int(b)) for a, b in zip(starts, ends)}}
 
 
 def knn(vectors: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:

@@ -124,12 +124,6 @@ def tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.einsum("qps,pcs->pcq", q.reshape(len(q), books.shape[0], SUB), books, optimize=True))
 
 
-def byte_tables(table: np.ndarray) -> np.ndarray:
-    """The sums for every packed byte of two codes: (d / SUB / 2, CHOICES * CHOICES, queries), so a scan looks up half as often."""
-    low, high = table[0::2], table[1::2]
-    return (high[:, :, None] + low[:, None, :]).reshape(len(low), CHOICES * CHOICES, -1)
-
-
 def scan(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Summed entries (rows, queries) of the codes (rows, parts) in ``table`` (parts, values, queries)."""
     total = table[0].take(codes[:, 0], axis=0)
