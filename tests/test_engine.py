@@ -223,3 +223,21 @@ def test_change_stream(engine, spark, tmp_path):
     events = spark.createDataFrame([("2024-01-01 00:10:00", "x", 1.0), ("2024-01-01 00:20:00", "x", 3.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     row = outcome_counts(events).first()
     assert row.n == 2 and row.mean_value == 2.0
+
+
+def test_programs_that_ask_for_nothing_run_once_for_all_inputs(spark, tmp_path):
+    from verdigris.operators.execution import execute
+
+    def job(code, *inputs):
+        return (code, list(inputs))
+
+    blind = "print('blind', 41)\nraise SystemExit"
+    jobs = spark.createDataFrame([*[job(blind, f"{i}\n", "x\n") for i in range(40)], *[job("n = int(input())\nprint(n + 41)", f"{i}\n") for i in range(40)], job(blind), job("print(input())", "a\n"), (None, ["a"]), (blind, None)], "code string, inputs array<string>")
+    done = execute(jobs.union(jobs), 5.0)
+    got = {tuple(c.stdout for c in r.cases): r["any"] for r in done.collect()}
+    assert done.count() == 82 and got == {("blind 41\n",) * 2: True, (): True, ("a\n",): False} | {(f"{i + 41}\n",): False for i in range(40)}
+    # what is known of a program holds for its new inputs, whether or not the table says for which
+    known = done.where("any").limit(1)
+    again = execute(spark.createDataFrame([job(blind, "new\n")], jobs.schema), 5.0, known=known).first()
+    assert again["any"] and again.cases[0] == known.first().cases[0]
+    assert execute(jobs, 5.0, known=done.drop("any")).count() == 0
