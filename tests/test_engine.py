@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,19 @@ def test_programs_that_ask_for_nothing_run_once_for_all_inputs(spark, tmp_path):
     again = execute(spark.createDataFrame([job(blind, "new\n")], jobs.schema), 5.0, known=known).first()
     assert again["any"] and again.cases[0] == known.first().cases[0]
     assert execute(jobs, 5.0, known=done.drop("any")).count() == 0
+
+
+def test_groups_meet_once_and_leave_ties_to_the_smaller_id(spark, monkeypatch):
+    from verdigris.operators import topk
+
+    monkeypatch.setattr(topk, "GROUP_QUERIES", 7)
+    monkeypatch.setattr(topk, "GROUP_ITEMS", 150)
+    rng = np.random.default_rng(3)
+    y, x = rng.integers(-2, 3, (500, 6)).astype(np.float32), rng.integers(-2, 3, (20, 6)).astype(np.float32)
+    rows = lambda m, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(-1, None)], f"{name} int, embedding array<float>")
+    found = topk.dense_topk_blocks(rows(x, "qid"), rows(y, "id"), 9, block=4)
+    best = np.argsort(-(x.astype(float) @ y.T), axis=1, kind="stable")[:, :9]
+    assert {(r.qid, r.dense_rank): r.id for r in found.collect()} == {(i, j + 1): best[i, j] for i in range(20) for j in range(9)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert topk.dense_topk_blocks(rows(x[:0], "qid"), rows(y, "id"), 9).count() == topk.dense_topk_blocks(rows(x, "qid"), rows(y[:0], "id"), 9).count() == 0
