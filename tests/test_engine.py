@@ -258,3 +258,22 @@ def test_groups_meet_once_and_leave_ties_to_the_smaller_id(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert topk.dense_topk_blocks(rows(x[:0], "qid"), rows(y, "id"), 9).count() == topk.dense_topk_blocks(rows(x, "qid"), rows(y[:0], "id"), 9).count() == 0
+
+
+def test_studies_compare_each_query_and_document_once(spark, monkeypatch):
+    from verdigris.plans import search as S
+    from verdigris.plans import studies
+
+    queries = spark.createDataFrame([("q1", "Add two numbers.\n\nInput\n1 2\nOutput\n3"), ("q2", "Reverse a text.")], "qid string, text string")
+    docs = spark.createDataFrame([(f"d{i}", f"a, b = map(int, input().split())\nprint(a + b + {i})\n") for i in range(60)], "uid string, text string")
+    qrels = spark.createDataFrame([("q1", "d0", 1), ("q2", "d7", 1)], "qid string, doc_id string, rel int")
+    met = []
+    monkeypatch.setattr(S, "dense_topk_blocks", lambda *a, f=S.dense_topk_blocks: met.append(a[2]) or f(*a))
+    how = Settings(depth=55, top_verify=2, expand=3)
+    view = S.corpus_view(docs.withColumnRenamed("uid", "id"))
+    _, results = studies.ablation(queries, view, qrels, HashingEncoder(), how)
+    assert met == [55] and results["dense"].hits.count() == 100 and results["dense"].hits.agg({"rank": "max"}).first()[0] == 50
+    alone = S.search(queries, view, HashingEncoder(), how, k=50)
+    pick = lambda r: {(x.qid, x.id, x.rank, x.tier) for x in r.hits.collect()}
+    assert pick(results["expanded"]) == pick(alone)
+    assert studies.evolution_study(queries, docs, qrels, HashingEncoder(), how).count() == 2 and len(met) == 3
